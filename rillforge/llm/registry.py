@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, language, mixing, quality_rules, toxicity
+from . import bpe, language, licences, media, mixing, quality_classifier, quality_rules, toxicity
 
-_MODULES = (quality_rules, language, toxicity, mixing, bpe)
+_MODULES = (licences, quality_rules, language, toxicity, mixing, bpe, media, quality_classifier)
 
 
 def queries() -> dict:
