@@ -3,7 +3,7 @@
 Every line with a word is judged by three rules:
 
 * punctuation: the line is a fragment (fewer than ``MIN_LINE_WORDS`` words and no closing mark at
-  its end), or symbols and marks make up more than ``MAX_MARK_SHARE`` of its non-space characters;
+  its end), or ASCII marks make up more than ``MAX_MARK_SHARE`` of its characters;
 * navigation: the line is a short row of menu entries (several separators), or consists of menu words;
 * boilerplate: the line contains a phrase that page templates repeat, or placeholder text or code.
 
@@ -28,7 +28,7 @@ from .common import SPACE_RUN, SPACES, Query, table
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_LINE_WORDS = 4
-MAX_MARK_SHARE = 0.15
+MAX_MARK_SHARE = 0.12
 MAX_LOST_SHARE = 0.5
 #: Symbols counted by ``n_symbols``.
 SYMBOLS = "#*$%&|<>"
@@ -75,18 +75,26 @@ def _repeat_words(words: Column, order: Column, shift: Column) -> Column:
     return F.when(n < 2, F.lit(0)).otherwise(F.size(F.array_distinct(covered))).cast("long")
 
 
-def _line_fails(line: Column) -> Column:
-    lower = F.lower(line)
-    dense = F.length(F.translate(line, SPACES, ""))
-    marks = dense - F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
-    few = F.size(_words(line)) < MIN_LINE_WORDS
-    punctuation = (few & ~line.rlike(CLOSING)) | (marks > F.lit(MAX_MARK_SHARE) * dense)
-    separators = F.length(line) - F.length(F.translate(line, "|›»•·", ""))
-    navigation = ((separators >= 3) & (separators * 4 >= F.size(_words(line)))) | lower.rlike(
-        rf"^[\x20\x09-\x0D]*({'|'.join(MENU)})([\x20\x09-\x0D|/>›»•·-]+({'|'.join(MENU)}))*[\x20\x09-\x0D]*$"
+def _template_marks(text: Column) -> Column:
+    """False only if no line of the text can be boilerplate: a cheap look at the text as a whole."""
+    lower = F.lower(text)
+    found = F.contains(lower, F.lit("{")) | F.contains(lower, F.lit("}")) | F.contains(lower, F.lit("function("))
+    for phrase in BOILERPLATE:
+        found = found | F.contains(lower, F.lit(phrase))
+    return found
+
+
+def _line_fails(line: Column, marked: Column) -> Column:
+    """marked: ``_template_marks`` of the whole text."""
+    few = ~line.rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{MIN_LINE_WORDS - 1}}}[^\x20\x09-\x0D]")
+    punctuation = (few & ~line.rlike(CLOSING)) | (F.regexp_count(line, F.lit(r"[!-/:-@\[-`{-~]")) > F.lit(MAX_MARK_SHARE) * F.length(line))
+    separators = F.regexp_count(line, F.lit("[|›»•·]"))
+    entry = rf"(?:{'|'.join(MENU)})"
+    navigation = ((separators >= 3) & (separators * 4 >= F.size(_words(line)))) | line.rlike(
+        rf"(?i)^[\x20\x09-\x0D]*{entry}(?:[\x20\x09-\x0D|/>›»•·-]+{entry})*[\x20\x09-\x0D]*$"
     )
-    boilerplate = lower.rlike("|".join(BOILERPLATE)) | lower.rlike(r"[{}].*[;=(]|function\(")
-    return punctuation | navigation | boilerplate
+    boilerplate = marked & F.lower(line).rlike("|".join(BOILERPLATE) + r"|[{}].*[;=(]|function\(")
+    return navigation | punctuation | boilerplate
 
 
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -100,18 +108,19 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     n = F.size(words)
     shift = F.length(F.bin(n.cast("long"))).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
-    zipped = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(n, F.lit(1))).alias("b"), F.slice(words, 3, F.greatest(n, F.lit(1))).alias("c"))
-    packed = F.transform(zipped, lambda x, i: F.xxhash64(x).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
+    packed = F.transform(
+        words, lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
+    )
     order = F.sort_array(F.slice(packed, 1, F.greatest(n - 2, F.lit(0))))
-    out = out.withColumns({f"{prefix}__order": order, f"{prefix}__shift": shift})
+    out = out.withColumns({f"{prefix}__order": order, f"{prefix}__shift": shift, f"{prefix}__marked": _template_marks(F.col(t))})
     out = out.withColumns({
         names["n_words"]: n.cast("long"),
-        names["word_chars"]: F.length(F.translate(F.col(t), SPACES, "")).cast("long"),
-        names["n_symbols"]: (F.length(F.col(t)) - F.length(F.translate(F.col(t), SYMBOLS, ""))).cast("long"),
+        names["word_chars"]: F.length(F.array_join(words, "")).cast("long"),
+        names["n_symbols"]: F.regexp_count(F.col(t), F.lit(f"[{SYMBOLS}]")).cast("long"),
         names["n_dup_lines"]: (F.size(F.col(f"{prefix}__lines")) - F.size(F.array_distinct(F.col(f"{prefix}__lines")))).cast("long"),
         names["n_repeat_words"]: _repeat_words(words, F.col(f"{prefix}__order"), F.col(f"{prefix}__shift")),
         names["n_lost_words"]: F.aggregate(
-            F.filter(F.col(f"{prefix}__lines"), lambda x: F.coalesce(_line_fails(x), F.lit(False))), F.lit(0).cast("long"), lambda total, x: total + F.size(_words(x))
+            F.filter(F.col(f"{prefix}__lines"), lambda x: _line_fails(x, F.col(f"{prefix}__marked"))), F.lit(0).cast("long"), lambda total, x: total + F.size(_words(x))
         ),
     })
     n_words, repeated = F.col(names["n_words"]), F.col(names["n_repeat_words"])
@@ -119,13 +128,13 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     return (
         out.withColumn(names["base_failed"], failed)
         .withColumn(names["kept"], ~failed & (F.col(names["n_lost_words"]) <= F.lit(MAX_LOST_SHARE) * n_words))
-        .drop(t, f"{prefix}__words", f"{prefix}__lines", f"{prefix}__order", f"{prefix}__shift")
+        .drop(t, f"{prefix}__words", f"{prefix}__lines", f"{prefix}__order", f"{prefix}__shift", f"{prefix}__marked")
     )
 
 
 def clean_text(text: Column) -> Column:
     """The text without its failing lines; null for null."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: (F.trim(x, F.lit(SPACES)) == "") | ~F.coalesce(_line_fails(x), F.lit(False))), "\n")
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: (F.trim(x, F.lit(SPACES)) == "") | ~_line_fails(x, F.lit(True))), "\n")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
