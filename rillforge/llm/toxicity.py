@@ -229,8 +229,10 @@ def _blocks(documents: list[list[str]], n: int = 256) -> list[list[list[str]]]:
 def fit_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_fit_chars: int = MAX_FIT_CHARS) -> ToxicityModel:
     """Fit on docs (doc_id, text, lang) and labels (doc_id, toxic) that may be learned from."""
     known = labels.where(~held_out(F.col("doc_id"), FOLDS) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), FOLDS) & (F.length(F.coalesce("text", F.lit(""))) <= max_fit_chars))
-    rows = stratified(texts.join(known, "doc_id"), "toxic", per_class, ["doc_id", "text"], "toxicity").select("text", "toxic").collect()
+    # at most about 2 * per_class ids, so they may be broadcast; the texts of other documents aren't moved
+    picked = stratified(known, "toxic", per_class, ["doc_id"], "toxicity", values=2)
+    short = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= max_fit_chars)
+    rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").collect()
     lang = language.fit_documents(docs)
     return fit([r.text for r in rows], [int(r.toxic) for r in rows], lang)
 
