@@ -137,7 +137,7 @@ def fit(texts: list[str], languages: list[str], centroids: int = CENTROIDS, dime
 def fit_documents(docs: DataFrame, per_language: int = PER_LANGUAGE, max_fit_chars: int = MAX_FIT_CHARS) -> LanguageModel:
     """Fit on the documents that may be learned from (doc_id, text, lang)."""
     usable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), FOLDS) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_fit_chars))
-    rows = stratified(usable, "lang", per_language, ["doc_id", "text"], "language").select("text", "lang").collect()
+    rows = stratified(usable, "lang", per_language, ["doc_id", "text"], "language").dropDuplicates(["doc_id", "text"]).select("text", "lang").collect()
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
