@@ -1,26 +1,66 @@
-"""Connected components of an edge list, by alternating large and small stars."""
+"""Connected components of an edge list, by local forests and then alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 
+#: Edges that one task reduces to a forest.
+EDGES_PER_TASK = 1_000_000
+
+
+class UnionFind:
+    """Sets of integers, each named by its least member."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while (up := p.setdefault(x, x)) != x:
+            p[x] = x = p[up]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's edges as stars: each node with the least of its local component."""
+    union = UnionFind()
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            union.join(u, v)
+    nodes = [x for x in union.parent if union.find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([union.find(x) for x in nodes], pa.int64())], names=["u", "v"])
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, component) of every node of ``edges`` (u long, v long); a component is named by its least node.
 
-    Each round hangs neighbours on the least neighbour; it stops when nothing changes. Edges and
-    labels stay on the executors, and each round's edges are cut from their lineage by a checkpoint.
+    Tasks of at most about ``edges_per_task`` edges first reduce their edges to stars. If there was
+    one task, that is the result; else rounds hang neighbours on the least neighbour until nothing
+    changes. Edges and labels stay on the executors; each round is cut from its lineage by a checkpoint.
     """
-    edges = checkpointed(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(edges)
+    edges = checkpointed(edges.where("u != v").select("u", "v"))
+    tasks = max(1, -(-edges.count() // edges_per_task))
+    edges = checkpointed(edges.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
+    state = _state(edges) if tasks > 1 else (0,)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -106,8 +106,8 @@ def learn_dictionary(docs: DataFrame) -> bytes | None:
 _REFS = pa.schema([("key", pa.binary()), ("seq", pa.int32()), ("n_chunks", pa.int32()), ("digest", pa.binary())])
 _STORE = pa.schema([("digest", pa.binary()), ("stored", pa.binary())])
 _READ = pa.schema([
-    ("key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
-    ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int32()), ("verified", pa.bool_()),
+    ("key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
+    ("media_sha256", pa.binary()), ("feature", pa.string()), ("n_chunks", pa.int32()), ("verified", pa.bool_()),
 ])
 
 
@@ -154,7 +154,7 @@ def _reader(words: bytes | None):
         media = hashlib.sha256(head)
         for x in stored:
             media.update(x)
-        return (key, len(payload), whole.hexdigest(), zlib.crc32(payload[-UNIT:]), len(head) + sum(map(len, stored)), media.hexdigest(), features_of(payload), len(stored), ok)
+        return (key, len(payload), whole.digest(), zlib.crc32(payload[-UNIT:]), len(head) + sum(map(len, stored)), media.digest(), features_of(payload), len(stored), ok)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = _decompressor(words).decompress
@@ -201,7 +201,7 @@ def chunk_store(docs: DataFrame, words: bytes | None = None) -> DataFrame:
 def read_back(lists: DataFrame, store: DataFrame, words: bytes | None = None) -> DataFrame:
     """Verified payload digests and features of each key, from the stored chunks alone."""
     joined = lists.join(store, "digest").select("key", "seq", "digest", "stored")
-    types = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int, verified boolean"
+    types = "key binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, n_chunks int, verified boolean"
     return joined.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(_reader(words), types)
 
 
@@ -210,7 +210,8 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     words = learn_dictionary(docs)
     read = read_back(chunk_lists(docs), chunk_store(docs, words), words)
     keys = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), payload_key(F.col("text")).alias("key"))
-    return keys.join(read, "key", "left").drop("key")
+    hexed = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}
+    return keys.join(read, "key", "left").drop("key").withColumns(hexed)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Query, checkpointed, table
-from .components import connected_components
+from .components import UnionFind, connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -50,7 +50,7 @@ RESERVE = 32
 PIVOTS = 8
 BINS = 128
 #: Sketch estimates: an edge in a small bucket, an edge to a pivot, close enough to a pivot to leave.
-EDGE, PIVOT_EDGE, LEAVES = 0.62, 0.38, 0.8
+EDGE, PIVOT_EDGE, LEAVES = 0.62, 0.3, 0.7
 #: Sets of a group that are compared in one block, and ids of sets (8 bytes each) that may be broadcast.
 BLOCK = 512
 BROADCAST_SETS = 4_000_000
@@ -173,24 +173,6 @@ def _to_sets(runs: int) -> Callable:
     return to_sets
 
 
-class _Union:
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        p = self.parent
-        while (up := p.setdefault(x, x)) != x:
-            p[x] = x = p[up]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
-
-
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -226,7 +208,7 @@ def _sketches(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def _spanning(ids: list[int], near: Callable[[int], np.ndarray], union: _Union) -> list[tuple[int, int]]:
+def _spanning(ids: list[int], near: Callable[[int], np.ndarray], union: UnionFind) -> list[tuple[int, int]]:
     """Edges of a forest over the pairs (i, j), j < i, that near(i) marks."""
     out = []
     for i in range(1, len(ids)):
@@ -238,7 +220,7 @@ def _spanning(ids: list[int], near: Callable[[int], np.ndarray], union: _Union)
 
 def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning edges of each bucket; rows (bucket, set_id, sketch) come sorted by bucket."""
-    union, edges = _Union(), []  # what earlier buckets of the task have joined need not be joined again
+    union, edges = UnionFind(), []  # what earlier buckets of the task have joined need not be joined again
     for group in _groups(batches, ("bucket",)):
         ids = group["set_id"].to_pylist()
         roots = {union.find(x) for x in ids}
@@ -253,7 +235,7 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _pivot_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, set_id, sketch, pivots): edges to pivots, and whether the set leaves the bucket."""
-    union = _Union()
+    union = UnionFind()
     for batch in batches:
         u, v, bucket, stays = [], [], [], []
         for b, x, s, pivots in zip(*(batch.column(c).to_pylist() for c in ("bucket", "set_id", "sketch", "pivots")), strict=True):
@@ -306,7 +288,7 @@ def _block_pairs(rows: DataFrame, group: str, n: str, block: int) -> DataFrame:
 
 def _blocks_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches, ("bucket", "pair_a", "pair_b")):
-        ids, side, s, union = group["set_id"].to_pylist(), np.array(group["side"].to_pylist()), _sketches(group["sketch"]), _Union()
+        ids, side, s, union = group["set_id"].to_pylist(), np.array(group["side"].to_pylist()), _sketches(group["sketch"]), UnionFind()
         own = group["pair_a"][0].as_py() == group["pair_b"][0].as_py()
         yield _edge_batch(_spanning(ids, lambda i: (similarity(s[:i], s[i]) >= EDGE) & (own | (side[:i] != side[i])), union))  # noqa: B023
 
@@ -391,7 +373,7 @@ def _exact(threshold: float) -> Callable:
             rows: dict[int, int] = {}
             for at, n in [*zip(left, near @ copies[right], strict=True), *([] if own else zip(right, near.T @ copies[left], strict=True))]:
                 rows[int(at)] = rows.get(int(at), 0) + int(n)
-            union, u, v, links = _Union(), [], [], []
+            union, u, v, links = UnionFind(), [], [], []
             for at, n in rows.items():
                 u.append(int(ids[at]))
                 v.append(None)

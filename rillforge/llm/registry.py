@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, language, licences, media, mixing, ngram_join, quality_classifier, quality_rules, toxicity
+from . import bpe, brown_lm, language, licences, media, mixing, ngram_join, quality_classifier, quality_rules, toxicity
 
-_MODULES = (licences, quality_rules, language, toxicity, ngram_join, mixing, bpe, media, quality_classifier)
+_MODULES = (licences, quality_rules, language, toxicity, ngram_join, mixing, bpe, brown_lm, media, quality_classifier)
 
 
 def queries() -> dict:
