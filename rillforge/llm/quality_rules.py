@@ -132,6 +132,16 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     )
 
 
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that the rules keep, with their own columns.
+
+    The row number keeps the filter above the statistics: pushed below, it would have each
+    statistic's whole expression written into it, array steps and all.
+    """
+    measured = measure(docs, text, "__rules_").withColumn("__rules_row", F.monotonically_increasing_id())
+    return measured.where(F.col("__rules_kept") & (F.col("__rules_row") >= 0)).select(*docs.columns)
+
+
 def clean_text(text: Column) -> Column:
     """The text without its failing lines; null for null."""
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: (F.trim(x, F.lit(SPACES)) == "") | ~_line_fails(x, F.lit(True))), "\n")
