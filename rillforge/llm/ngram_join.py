@@ -146,6 +146,13 @@ def reserve(hashes: np.ndarray) -> np.ndarray:
     return h[_below(h, RESERVE)].view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds few rows as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 _SETS = pa.schema([
     ("doc_id", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), ("buckets", pa.list_(pa.int64())), ("reserve", pa.list_(pa.int64())), ("sketch", pa.binary()),
 ])
@@ -155,7 +162,7 @@ _SETS_SQL = "doc_id long, set_id long, size long, buckets array<long>, reserve a
 def _to_sets(runs: int) -> Callable:
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(text)
@@ -236,7 +243,7 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _pivot_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, set_id, sketch, pivots): edges to pivots, and whether the set leaves the bucket."""
     union = UnionFind()
-    for batch in batches:
+    for batch in _slices(batches):
         u, v, bucket, stays = [], [], [], []
         for b, x, s, pivots in zip(*(batch.column(c).to_pylist() for c in ("bucket", "set_id", "sketch", "pivots")), strict=True):
             leaves = False
@@ -391,7 +398,7 @@ def _exact(threshold: float) -> Callable:
 
 def _set_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    for batch in batches:
+    for batch in _slices(batches):
         ids, hashes = [], []
         for text in batch.column(0).to_pylist():
             h = shingles(text)
