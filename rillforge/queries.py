@@ -55,20 +55,20 @@ def cdc_serialize_json(spark, d):
     return serialize(events(spark, d)).select(F.try_variant_get(v, "$.id", "string").alias("id"), F.to_json(F.try_variant_get(v, "$.key", "variant")).alias("key_json"), F.contains("json", F.lit('"before":null')).alias("has_null_before"))
 
 
-_AT = F.lit("2024-01-01 00:00:00")
+_AT = "2024-01-01 00:00:00"
 
 
 @query("""SELECT 'pg-evt-' || n AS id, CASE WHEN n % 4 = 0 THEN 'Commit' WHEN n % 4 = 1 THEN 'Create' ELSE 'Update' END AS operation,
  CASE WHEN n % 4 <> 0 THEN '{"id":' || n || ',"name":"User ' || n || '","email":"user' || n || '@example.com"}' END AS after,
  'tx-' || ((n - 1) // 4 + 1000) AS transaction_id, n AS seq FROM range(1, 2001) t(n)""")
 def pg_source_replay(spark, d):
-    return generators.transactional(generators.numbers(spark, None, 2000), _AT).select("id", "operation", "after", "transaction_id", "seq")
+    return generators.transactional(generators.numbers(spark, None, 2000), F.lit(_AT)).select("id", "operation", "after", "transaction_id", "seq")
 
 
 @query("SELECT 'cas-evt-' || n AS id, 'sensor-' || (n % 10) AS sensor, round(20 + n * 0.1::DOUBLE, 3) AS reading, n AS seq FROM range(1, 2001) t(n)")
 def cassandra_source_replay(spark, d):
     v = F.try_parse_json("after")
-    return generators.commit_log(generators.numbers(spark, None, 2000), _AT).select("id", F.try_variant_get(v, "$.sensor_id", "string").alias("sensor"), F.try_variant_get(v, "$.reading_value", "double").alias("reading"), "seq")
+    return generators.commit_log(generators.numbers(spark, None, 2000), F.lit(_AT)).select("id", F.try_variant_get(v, "$.sensor_id", "string").alias("sensor"), F.try_variant_get(v, "$.reading_value", "double").alias("reading"), "seq")
 
 
 @query("SELECT seq, coalesce(TRY_CAST(o AS BIGINT), 0) AS position FROM (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'offset-' || event_id ELSE event_id::VARCHAR END AS o FROM events)")
