@@ -42,17 +42,21 @@ from .components import UnionFind, connected_components
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-#: Shingles that two sets at the limit are expected to choose in common, in a run or at a level.
-SHARED = 3.0
+#: Shingles that two sets at the limit are expected to choose in common, in a run and at a deeper level.
+SHARED, SHARED_BELOW = 3.0, 1.8
 LIMIT = 200
 LEVELS = 3
 RESERVE = 32
-PIVOTS = 8
+PIVOTS = 16
 BINS = 128
 #: Sketch estimates: an edge in a small bucket, an edge to a pivot, close enough to a pivot to leave.
 EDGE, PIVOT_EDGE, LEAVES = 0.62, 0.3, 0.7
 #: Sets of a group that are compared in one block, and ids of sets (8 bytes each) that may be broadcast.
 BLOCK = 512
+#: Members of a bucket whose sketches are compared in one block.
+SKETCH_BLOCK = 2048
+#: Rows that one task compares with pivots; each task's edges are a forest of its own.
+PIVOT_ROWS = 25_000
 BROADCAST_SETS = 4_000_000
 
 _BASE, _ODD = 0x9E3779B97F4A7C15, [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
@@ -117,12 +121,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return equal / np.maximum(1, ((a != 0) | (b != 0)).sum(axis=-1))
 
 
-def runs_needed(recall: float = RECALL, shared: float = SHARED, levels: int = LEVELS) -> int:
+def runs_needed(recall: float = RECALL, shared: float = SHARED, below: float = SHARED_BELOW, levels: int = LEVELS) -> int:
     """Runs until a pair at the limit is missed with odds of at most 1 - recall, at the deepest level."""
     found = 1.0
-    for _ in range(levels):
-        found = 1 - math.exp(-shared * found)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+    for _ in range(levels - 1):
+        found = 1 - math.exp(-below * found)
+    return max(1, math.ceil(math.log(1 - recall) / (-shared * found)))
 
 
 def _below(h: np.ndarray, expected: float) -> np.ndarray:
@@ -300,7 +304,7 @@ def _blocks_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _edge_batch(_spanning(ids, lambda i: (similarity(s[:i], s[i]) >= EDGE) & (own | (side[:i] != side[i])), union))  # noqa: B023
 
 
-def candidate_edges(sets: DataFrame, shared: float = SHARED, threshold: float = THRESHOLD, limit: int = LIMIT, levels: int = LEVELS) -> DataFrame:
+def candidate_edges(sets: DataFrame, below: float = SHARED_BELOW, threshold: float = THRESHOLD, limit: int = LIMIT, levels: int = LEVELS) -> DataFrame:
     """Edges (u, v) whose components hold every pair within the limit, but for the recall."""
     slim = sets.select("set_id", "sketch")
     members = sets.select("set_id", F.explode("buckets").alias("bucket"))
@@ -311,20 +315,20 @@ def candidate_edges(sets: DataFrame, shared: float = SHARED, threshold: float =
         small = members.where(F.col("n") <= limit).join(slim, "set_id").select("bucket", "set_id", "sketch")
         found.append(checkpointed(small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_small_buckets, "u long, v long").distinct()))
         hot = members.where(F.col("n") > limit)
-        if hot.isEmpty():
+        if not (n_hot := hot.count()):
             break
-        hot = hot.join(slim, "set_id")
+        hot = checkpointed(hot.join(slim, "set_id"))
         draw = F.pmod(F.xxhash64("set_id", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40))
         pivots = hot.where(draw < F.lit(float(PIVOTS)) / F.col("n")).groupBy("bucket").agg(F.collect_list(F.struct("set_id", "sketch")).alias("pivots"))
-        step = checkpointed(hot.select("bucket", "set_id", "sketch").join(pivots, "bucket", "left").mapInArrow(_pivot_step, "u long, v long, bucket long, stays boolean"))
+        step = checkpointed(hot.select("bucket", "set_id", "sketch").join(pivots, "bucket", "left").coalesce(-(-n_hot // PIVOT_ROWS)).mapInArrow(_pivot_step, "u long, v long, bucket long, stays boolean"))
         found.append(step.where("not stays").select("u", "v").distinct())
         stay = step.where("stays").select(F.col("u").alias("set_id"), "bucket")
         if level < levels:
-            deeper = _deeper(level, shared, threshold)
+            deeper = _deeper(level, below, threshold)
             members = stay.join(sets.select("set_id", "reserve"), "set_id").select("set_id", F.explode(deeper("bucket", "reserve")).alias("bucket"))
         else:
             left = stay.join(stay.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").join(slim, "set_id")
-            pairs = _block_pairs(left, "bucket", "n", BLOCK).select("bucket", "pair_a", "pair_b", "side", "set_id", "sketch")
+            pairs = _block_pairs(left, "bucket", "n", SKETCH_BLOCK).select("bucket", "pair_a", "pair_b", "side", "set_id", "sketch")
             keys = ("bucket", "pair_a", "pair_b")
             found.append(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks_by_sketch, "u long, v long").distinct())
     out = found[0]
