@@ -164,7 +164,7 @@ class MergeReplay:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def digest(self, texts: list[str | None], chars: int = 8_000_000) -> list[tuple[int, str, str]]:
+    def digest(self, texts: list[str | None], chars: int = 2_500_000) -> list[tuple[int, str, str]]:
         """Number of ids, SHA-256 of the ids and SHA-256 of the decoded bytes of each text."""
         out, block, size = [], [], 0
         for text in texts:
