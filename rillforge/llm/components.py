@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +36,28 @@ class UnionFind:
         return True
 
 
+def least_of_component(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ends of the edges (u, v), and the least end of each one's component."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+    return nodes, nodes[root]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's edges as stars: each node with the least of its local component."""
-    union = UnionFind()
-    for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            union.join(u, v)
-    nodes = [x for x in union.parent if union.find(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([union.find(x) for x in nodes], pa.int64())], names=["u", "v"])
+    ends = [[batch.column(i).to_numpy() for i in (0, 1)] for batch in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(e[i] for e in ends)]) for i in (0, 1))
+    nodes, least = least_of_component(u, v)
+    hangs = nodes != least
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[hangs], pa.int64()), pa.array(least[hangs], pa.int64())], names=["u", "v"])
 
 
 def _state(edges: DataFrame) -> tuple:
