@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Query, table
+from .common import Query, small_batches, table
 
 #: Pieces whose encoding a Python worker remembers; beyond this the memory starts anew.
 REMEMBERED_PIECES = 700_000
@@ -232,6 +232,7 @@ def decode_column(ids: Column, path: str | None = None, pattern: str | None = No
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", digest_column(F.col("text"), path, pattern).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language
-from .common import Query, held_out, stratified, table
+from .common import Query, held_out, small_batches, stratified, table
 
 PREFIX = 4
 WIDTHS = (1, 2, 3)
@@ -238,6 +238,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
