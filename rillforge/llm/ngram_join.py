@@ -33,10 +33,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Query, checkpointed, table
+from .common import Query, checkpointed, small_batches, table
 from .components import UnionFind, connected_components
 
 SHINGLE = 5
@@ -51,12 +51,13 @@ PIVOTS = 16
 BINS = 128
 #: Sketch estimates: an edge in a small bucket, an edge to a pivot, close enough to a pivot to leave.
 EDGE, PIVOT_EDGE, LEAVES = 0.62, 0.3, 0.7
-#: Sets of a group that are compared in one block, and ids of sets (8 bytes each) that may be broadcast.
-BLOCK = 512
+#: Sets of a group that are compared in one block, and about as many shingles (8 bytes each) as they have.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Members of a bucket whose sketches are compared in one block.
 SKETCH_BLOCK = 2048
 #: Rows that one task compares with pivots; each task's edges are a forest of its own.
 PIVOT_ROWS = 25_000
+#: Ids of sets (8 bytes each) that may be broadcast.
 BROADCAST_SETS = 4_000_000
 
 _BASE, _ODD = 0x9E3779B97F4A7C15, [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
@@ -283,14 +284,13 @@ def _deeper(level: int, shared: float, threshold: float):
     return paths
 
 
-def _block_pairs(rows: DataFrame, group: str, n: str, block: int) -> DataFrame:
-    """Deal the rows of each group into blocks and each block to the pairs of blocks it is part of.
+def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Deal the rows of each group into ``blocks`` blocks and each block to the pairs of blocks it is part of.
 
     Adds pair_a, pair_b (block numbers, a <= b) and side (0: block a, 1: block b). A group of one
     block has the one pair (0, 0).
     """
-    blocks = F.ceil(F.col(n) / F.lit(block)).cast("int")
-    dealt = rows.withColumn("__k", blocks).withColumn("__b", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("__k").cast("long")).cast("int"))
+    dealt = rows.withColumn("__k", blocks.cast("int")).withColumn("__b", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("__k").cast("long")).cast("int"))
     spread = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     return spread.select(
         *rows.columns, F.least("__b", "__o").alias("pair_a"), F.greatest("__b", "__o").alias("pair_b"), F.when(F.col("__b") <= F.col("__o"), 0).otherwise(1).alias("side")
@@ -328,7 +328,7 @@ def candidate_edges(sets: DataFrame, below: float = SHARED_BELOW, threshold: flo
             members = stay.join(sets.select("set_id", "reserve"), "set_id").select("set_id", F.explode(deeper("bucket", "reserve")).alias("bucket"))
         else:
             left = stay.join(stay.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").join(slim, "set_id")
-            pairs = _block_pairs(left, "bucket", "n", SKETCH_BLOCK).select("bucket", "pair_a", "pair_b", "side", "set_id", "sketch")
+            pairs = _block_pairs(left, F.ceil(F.col("n") / F.lit(SKETCH_BLOCK))).select("bucket", "pair_a", "pair_b", "side", "set_id", "sketch")
             keys = ("bucket", "pair_a", "pair_b")
             found.append(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks_by_sketch, "u long, v long").distinct())
     out = found[0]
@@ -341,13 +341,13 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None, width:
     """Sizes of the intersections of all sets of a with all of b, or of a with itself."""
     both = a if b is None else a + b
     flat = np.concatenate(both)
-    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    owner = np.repeat(np.arange(len(both), dtype=np.int32), [len(x) for x in both])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    token = np.cumsum(new) - 1
+    token = np.cumsum(new, dtype=np.int32) - 1
     often = np.bincount(token) > 1
-    number = np.cumsum(often) - 1
+    number = np.cumsum(often, dtype=np.int32) - 1
     keep = often[token]
     token, owner = number[token[keep]], owner[keep]
     n = len(a)
@@ -413,11 +413,12 @@ def _set_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["set_id", "hashes"])
 
 
-def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
+def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
     """doc_id, class_id and n_links of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = checkpointed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_to_sets(runs_needed(recall)), _SETS_SQL))
-    counted = rows.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    counted = rows.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.max("size").alias("size"))
     sets = rows.where("buckets is not null").select("set_id", "buckets", "reserve", "sketch").dropDuplicates(["set_id"])
     sets = checkpointed(sets)
     groups = checkpointed(connected_components(candidate_edges(sets, threshold=threshold, limit=limit)).withColumnsRenamed({"node": "set_id"}))
@@ -425,10 +426,14 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     if in_groups.count() <= broadcast_sets:
         in_groups = F.broadcast(in_groups)
     hashes = docs.select("text").mapInArrow(_set_hashes, "set_id long, hashes binary").join(in_groups, "set_id", "left_semi").dropDuplicates(["set_id"])
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    grouped = hashes.join(groups, "set_id").join(sizes, "component").join(counted.select("set_id", "copies"), "set_id")
+    members = groups.join(counted.select("set_id", "copies", "size"), "set_id")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    # the hashes, which are heavy, join last and so are moved once before they are dealt out
+    members = checkpointed(members.join(sizes, "component"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("shingles") / F.lit(block_shingles)))
+    grouped = hashes.join(members.withColumn("blocks", blocks).select("component", "blocks", "set_id", "copies"), "set_id")
     keys = ("component", "pair_a", "pair_b")
-    pairs = _block_pairs(grouped.select("component", "n", "set_id", "copies", "hashes"), "component", "n", block)
+    pairs = _block_pairs(grouped.select("component", "blocks", "set_id", "copies", "hashes"), F.col("blocks"))
     links = checkpointed(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_exact(threshold), "u long, v long, links long"))
     n_links = links.where("v is null").groupBy(F.col("u").alias("set_id")).agg(F.sum("links").alias("links"))
     classes = connected_components(links.where("v is not null").select("u", "v")).withColumnsRenamed({"node": "set_id"})

@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,8 +78,8 @@ def test_bpe_equals_the_library(spark, docs):
 def test_join_equals_brute_force(spark, docs):
     found = [(r.doc_id, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := WORD.findall(r.text or "")) else None) for r in spark.read.parquet(f"{docs}/documents.parquet").collect()]
     links = [sum(1 for j, (_, b) in enumerate(found) if i != j and a and b and len(a & b) >= 0.8 * len(a | b)) for i, (_, a) in enumerate(found)]
-    for limit, block, few in ((200, 512, 4_000_000), (2, 2, 0)):  # the second takes every deep path
-        got = ngram_join.join_documents(spark.read.parquet(f"{docs}/documents.parquet"), limit=limit, block=block, broadcast_sets=few).collect()
+    for limit, block, shingles, few in ((200, 512, 1_000_000, 4_000_000), (2, 2, 1_000_000, 0), (200, 512, 200, 0)):  # the second takes every deep path
+        got = ngram_join.join_documents(spark.read.parquet(f"{docs}/documents.parquet"), limit=limit, block=block, block_shingles=shingles, broadcast_sets=few).collect()
         assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(i), n) for (i, _), n in zip(found, links, strict=True))
 
 
@@ -87,6 +89,16 @@ def test_components_in_rounds(spark):
     assert {r.node: r.component for r in got.collect()} == {**{i: i // 10 * 10 for i in range(40)}, 100: 0, 200: 0}
 
 
+def test_components_of_a_block():
+    rng = random.Random(3)
+    for n, m in ((1, 0), (5, 4), (300, 200), (2000, 1900), (500, 3000)):
+        edges, union = [(rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(m)] + [(i, i + 1) for i in range(0, -n // 2, -1)], components.UnionFind()
+        for u, v in edges:
+            union.join(u, v)
+        nodes, least = components.least_of_component(*(np.array([e[i] for e in edges], np.int64) for i in (0, 1)))
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == {x: union.find(x) for x in union.parent}
+
+
 def test_mixing(spark):
     assert mixing.targets([100, 10, 90], [5, 2, 1], 200) == pytest.approx([200 - 30 - (200 - 30) / 6, 30, (200 - 30) / 6])
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(6000)], "doc_id long, text string, source string")
@@ -132,8 +144,6 @@ def test_models_learn_on_held_out_rows():
     s = tox.score(["w1 w2 Vileword w4", "w1 w2 w3 w4", "", None])
     assert s[0] >= 0.5 > max(s[1:])
     good, bad = [(f"A clean line number {i}, with words.", "en", "s") for i in range(60)], [(f"JUNK$$$ {i} ### |||", "en", "t") for i in range(60)]
-    import numpy as np
-
     q = quality_classifier.co_train(good[:40] + bad[:40], np.array([1.0] * 40 + [0.0] * 40), good[40:50] + bad[40:50])
     x = q.score([r[0] for r in good[50:] + bad[50:]], ["en"] * 20, ["s"] * 10 + ["t"] * 10)[:, 0]
     assert (x[:10] > 0.5).all() and (x[10:] < 0.5).all()
