@@ -2,19 +2,26 @@
 
 Tokens are words with A-Z lower-cased, and one end after each text. Training:
 
-1. The count of every word of the training texts (``vocabulary``: as many rows as distinct words).
-2. Units to be clustered: each word that makes up at least ``1 / CORE`` of all tokens is a unit (there
-   are ``CORE`` at most), as is the end; every other word belongs to one of ``SIGNATURES`` units by
+1. Words that may be frequent: those frequent enough in the batches of training texts that they can
+   make up ``1 / CORE`` of all tokens (``frequent``). Bigrams tell which do.
+2. Units of the exchange: each word that makes up at least ``1 / CORE`` of all tokens is a unit (there
+   are ``CORE`` at most), as is the end; every other word stands in one of ``SIGNATURES`` units by
    the hash of its last letters and closing mark. Bigrams of units are counted over all training texts.
 3. Exchange clustering: units are visited by frequency and each moves to the class that most raises
    the likelihood of the class bigram model, until a round moves none. The bigram counts have at most
    (CORE + 1 + SIGNATURES) ** 2 cells whatever the corpus, so this runs in the driver.
+4. Every further word of the training texts, however rare, gets its class by its own counts with the
+   classes before and after it: the class under which these are likeliest. The counts meet by word in
+   a distributed pass (``assign``), so the clustered vocabulary is the vocabulary of the corpus.
+   Signatures only give the classes of neighbours in this pass, and of words that training has not seen.
+5. Class bigrams are counted anew with the classes of all words.
 
 P(word | class before) = P(class | class before) * P(word | class): transitions with Witten-Bell
 smoothing, emissions (c + 0.1) / (N_class + 0.1 * (V_class + 1)), which leaves mass for unseen words.
 
-Scoring deals the texts into blocks by hash; a block meets the counts of its own distinct words by a
-join, so no task needs the vocabulary as a whole and nothing that grows is broadcast.
+Scoring deals the texts into blocks by hash; a block meets the counts and classes of its own distinct
+words by a join, so no task needs the vocabulary as a whole and nothing that grows is broadcast. It
+gives the class of each token, from which step 5 and then the scores are reckoned row by row.
 
 Defined results: null texts are empty, that is one end; a null doc_id counts as held out; repeated
 rows count and score each; without training texts every count is 0. Extra columns are ignored.
@@ -23,12 +30,14 @@ rows count and score each; without training texts every count is 0. Extra column
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,18 +66,32 @@ def signature(word: bytes) -> int:
     return zlib.crc32(f"{bare[-2:]}|{text[len(bare):][:1]}".encode()) % SIGNATURES
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: Counter[bytes] = Counter()
-        for text in batch.column(0).to_pylist():
-            counts.update(words_of(text))
-            counts[END] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def _count_frequent(share: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[bytes] = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update(words_of(text))
+                counts[END] += 1
+            total = counts.total()
+            found = [(w, n) for w, n in counts.items() if n * share >= total or w == END]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64()), pa.array([total] * len(found), pa.int64())], names=["word", "n", "of"])
+
+    return count
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """word (binary), n: the count of every token of texts (text)."""
-    return texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def frequent(texts: DataFrame, core: int = CORE) -> tuple[int, list[bytes]]:
+    """The number of tokens of texts (text), and all words but the end that can make up ``1 / core`` of them.
+
+    A batch tells the counts of words that are ``1 / share`` of it, so a word has at most its told
+    count and ``1 / share`` of the other batches. With a share of 8 * core the words are 8 / 7 * core at most.
+    """
+    share = 8 * core
+    told = checkpointed(texts.select("text").mapInArrow(_count_frequent(share), "word binary, n long, of long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")))
+    ends = told.where(F.col("word") == F.lit(END)).first()
+    n = int(ends.of) if ends else 0
+    found = told.where(((F.col("n") * share + n - F.col("of")) * core >= F.lit(n * share)) & (F.col("word") != F.lit(END)))
+    return n, [bytes(r.word) for r in found.select("word").orderBy("word").collect()]
 
 
 @dataclass
@@ -85,18 +108,30 @@ class Units:
         found = self.core.get(word)
         return len(self.core) + signature(word) if found is None else found
 
+    def of_all(self, words: list[bytes]) -> np.ndarray:
+        """``of`` each word. A signature is told by the last four bytes where these are ASCII and hold two characters before the marks."""
+        core, tails, out = self.core, {}, []
+        for word in words:
+            unit = core.get(word)
+            if unit is None:
+                tail = word[-4:]
+                unit = tails.get(tail)
+                if unit is None:
+                    unit = self.of(word)
+                    if tail.isascii() and len(tail.decode().rstrip(MARKS)) >= 2:
+                        tails[tail] = unit
+            out.append(unit)
+        return np.array(out, np.int64)
+
     def sequence(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct words (the end first), all tokens as numbers of them, and where each text's tokens start."""
-        number: dict[bytes, int] = {END: 0}
+        number: defaultdict[bytes, int] = defaultdict(None, {END: 0})
+        number.default_factory = number.__len__
         flat: list[int] = []
         starts = []
         for text in texts:
             starts.append(len(flat))
-            for word in words_of(text):
-                i = number.get(word)
-                if i is None:
-                    i = number[word] = len(number)
-                flat.append(i)
+            flat.extend(map(number.__getitem__, words_of(text)))
             flat.append(0)
         return list(number), np.array(flat, np.int64), np.array(starts, np.int64)
 
@@ -108,7 +143,7 @@ def _count_bigrams(units: Units):
             distinct, flat, starts = units.sequence(batch.column(0).to_pylist())
             if not len(flat):
                 continue
-            unit = np.array([units.of(w) for w in distinct], np.int64)[flat]
+            unit = units.of_all(distinct)[flat]
             before = np.concatenate([[units.of(END)], unit[:-1]])
             code, n = np.unique(before * m + unit, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code // m, pa.int32()), pa.array(code % m, pa.int32()), pa.array(n, pa.int64())], names=["u", "v", "n"])
@@ -172,72 +207,160 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
 @dataclass
 class BrownModel:
     units: Units
-    core_counts: dict[bytes, int]
+    core_counts: np.ndarray  # of each core word
     cls: np.ndarray  # of each unit
-    transition: np.ndarray  # log10 P(class | class before)
-    mass: np.ndarray  # log10(N_class + 0.1 * (V_class + 1))
+    likely: np.ndarray  # [class before, or classes + class after; class]: log P of one such neighbour of a word of the class
     n_tokens: int
-    n_words: int
 
-    def score(self, texts: list[str | None], counts: dict[bytes, int]) -> dict[str, np.ndarray]:
-        """n_tokens, n_known, base_score and score of each text. counts: of all its words that aren't core words."""
+    @property
+    def classes(self) -> int:
+        return self.likely.shape[1]
+
+    def classed(self, texts: list[str | None], words: list[bytes], counts: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray | list[bytes]]:
+        """n_tokens, n_known, lexical score and the tokens' classes of each text.
+
+        words, counts, classes: of all the texts' trained words that aren't core words.
+        """
         distinct, flat, starts = self.units.sequence(texts)
-        n = np.array([self.core_counts[w] if w in self.core_counts else counts.get(w, 0) for w in distinct], np.float64)
-        c = self.cls[np.array([self.units.of(w) for w in distinct], np.int64)][flat]
-        before = np.concatenate([[self.cls[self.units.of(END)]], c[:-1]])
+        core = self.units.core
+        place = dict(zip(words, range(len(core), len(core) + len(words)), strict=True)) | core
+        at = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        n = np.where(at < 0, 0, np.concatenate([self.core_counts, counts])[at]).astype(np.float64)
+        c = np.concatenate([self.cls[: len(core)], classes])[at]
+        for i in np.flatnonzero(at < 0):
+            c[i] = self.cls[self.units.of(distinct[i])]
         lexical = np.log10(n + ADDED)[flat]
         length = np.diff(np.append(starts, len(flat)))
         total = lambda x: np.add.reduceat(x, starts)
-        base = total(lexical) - length * np.log10(self.n_tokens + ADDED * (self.n_words + 1))
-        return {"n_tokens": length, "n_known": total((n > 0)[flat].astype(np.int64)), "base_score": base, "score": total(lexical + self.transition[before, c] - self.mass[c])}
+        code = c.astype(np.uint8)[flat]
+        return {"n_tokens": length, "n_known": total((n > 0)[flat].astype(np.int64)), "lexical": total(lexical), "classes": [code[i : i + k].tobytes() for i, k in zip(starts, length, strict=True)]}
 
 
-def fit(texts: DataFrame, words: DataFrame, classes: int = CLASSES, core: int = CORE) -> BrownModel:
-    """Train on texts (text), whose ``vocabulary`` is words."""
-    row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = words.where((F.col("n") * core >= row.n) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").collect()
-    units = Units({END: 0} | {bytes(r.word): i + 1 for i, r in enumerate(frequent)})
-    ends = words.where(F.col("word") == F.lit(END)).first()
-    core_counts = {END: int(ends.n) if ends else 0} | {bytes(r.word): int(r.n) for r in frequent}
+def _log_transition(n: np.ndarray) -> np.ndarray:
+    """Natural log of P(class | class before) with Witten-Bell smoothing, from class bigram counts."""
+    of_class = n.sum(axis=0)
+    prior = (of_class + 0.5) / (of_class.sum() + 0.5 * len(n))
+    followers = np.maximum(1, (n > 0).sum(axis=1, keepdims=True))
+    return np.log((n + followers * prior[None]) / (n.sum(axis=1, keepdims=True) + followers))
+
+
+def fit(texts: DataFrame, classes: int = CLASSES, core: int = CORE) -> BrownModel:
+    """Steps 1 to 3 on texts (text)."""
+    if not 0 < classes <= 128:
+        raise ValueError("a class and its side have one byte")
+    n_tokens, words = frequent(texts, core)
+    may = Units({END: 0} | {w: i + 1 for i, w in enumerate(words)})
+    found = texts.select("text").mapInArrow(_count_bigrams(may), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")).toArrow()
+    u, v, times = (found[c].to_numpy() for c in ("u", "v", "n"))
+    total = np.zeros(may.size, np.int64)
+    np.add.at(total, v, times)
+    are = sorted((-int(total[i]), w) for w, i in may.core.items() if w != END and total[i] * core >= n_tokens)
+    units = Units({END: 0} | {w: i + 1 for i, (_, w) in enumerate(are)})
+    core_counts = np.array([int(total[0])] + [-k for k, _ in are], np.int64)
     m = units.size
-    found = texts.select("text").mapInArrow(_count_bigrams(units), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")).toArrow()
+    # words that aren't frequent after all go to their signatures
+    to = np.array([units.of(w) for w in may.core] + [len(units.core) + i for i in range(SIGNATURES)], np.int64)
     counts = np.zeros((m, m))
-    counts[found["u"].to_numpy(), found["v"].to_numpy()] = found["n"].to_numpy()
+    np.add.at(counts, (to[u], to[v]), times)
     cls = exchange(counts, classes)
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [signature(w) for w in batch.column(0).to_pylist() if w not in core_counts]
-            own, n = np.unique(np.array(ids, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n, pa.int64())], names=["signature", "n"])
-
-    distinct = np.zeros(m)
-    distinct[: len(units.core)] = 1
-    for r in words.select("word").mapInArrow(signatures, "signature long, n long").groupBy("signature").agg(F.sum("n").alias("n")).collect():
-        distinct[len(units.core) + r.signature] = r.n
     one = np.zeros((m, classes))
     one[np.arange(m), cls] = 1
     n = one.T @ counts @ one
-    of_class, words_of_class = n.sum(axis=0), one.T @ distinct
-    prior = (of_class + 0.5) / (of_class.sum() + 0.5 * classes)
-    followers = np.maximum(1, (n > 0).sum(axis=1, keepdims=True))
-    transition = np.log10((n + followers * prior[None]) / (n.sum(axis=1, keepdims=True) + followers))
-    return BrownModel(units, core_counts, cls, transition, np.log10(of_class + ADDED * (words_of_class + 1)), int(row.n), int(row.v))
+    step = _log_transition(n)
+    # a word of class c has log P(c | before) + log P(after | c) - log N_c for each token, up to what all classes share
+    likely = np.concatenate([step - np.log(n.sum(axis=0) + 1)[None], step.T])
+    return BrownModel(units, core_counts, cls, likely, n_tokens)
+
+
+def _neighbours(shared) -> object:
+    """Each word of a batch that isn't a core word, with two bytes for each token: class before, and ``classes`` + class after."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        units, cls = model.units, model.cls
+        for batch in batches:
+            distinct, flat, _ = units.sequence(batch.column(0).to_pylist())
+            unit = units.of_all(distinct)
+            c = cls[unit][flat].astype(np.uint8)
+            rare = unit >= len(units.core)
+            at = np.flatnonzero(rare[flat])  # never the last token, which is an end
+            # the first token of a batch comes after an end, as the last one is
+            codes = np.stack([c[at - 1], c[np.minimum(at + 1, len(c) - 1)] + np.uint8(model.classes)], axis=1)
+            own = flat[at]
+            codes = codes[np.argsort(own)]
+            lengths = 2 * np.bincount(own, minlength=len(distinct))[rare]
+            if lengths.sum() >= 1 << 31:
+                raise ValueError("a batch of texts has more than 2 ** 30 tokens")
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, x in zip(distinct, rare.tolist(), strict=True) if x], pa.binary()), packed], names=["word", "codes"])
+
+    return count
+
+
+def _likeliest(shared) -> object:
+    """word, n and class from rows of ``_neighbours`` sorted by word."""
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likely = shared.value.likely
+        sides = len(likely)
+
+        def out(words: pa.Array, cells: np.ndarray) -> pa.RecordBatch:
+            cls = np.round(cells @ likely, 9).argmax(axis=1)
+            return pa.RecordBatch.from_arrays([words, pa.array(cells.sum(axis=1).astype(np.int64) // 2), pa.array(cls.astype(np.int32))], names=["word", "n", "cls"])
+
+        word, held = None, None  # the last word so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, packed = batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())
+            new = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
+            first = np.flatnonzero(new)
+            number = np.cumsum(new) - 1
+            codes = np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
+            lengths = pc.binary_length(packed).to_numpy()
+            cells = np.bincount(np.repeat(number * sides, lengths) + codes, minlength=len(first) * sides).reshape(-1, sides).astype(np.float64)
+            names = words.take(pa.array(first))
+            if word is not None:
+                if names[0].as_py() == word:
+                    cells[0] += held
+                else:
+                    yield out(pa.array([word], pa.binary()), held[None])
+            word, held = names[-1].as_py(), cells[-1].copy()
+            if len(first) > 1:
+                yield out(names.slice(0, len(first) - 1), cells[:-1])
+        if word is not None:
+            yield out(pa.array([word], pa.binary()), held[None])
+
+    return classed
+
+
+def assign(texts: DataFrame, shared) -> DataFrame:
+    """word, n, cls of every word of texts (text) that isn't a core word; shared: the broadcast model of ``fit``."""
+    met = texts.select("text").mapInArrow(_neighbours(shared), "word binary, codes binary")
+    return met.repartition("word").sortWithinPartitions("word").mapInArrow(_likeliest(shared), "word binary, n long, cls int")
+
+
+def _bigram_codes(column: pa.Array, end: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """class before * classes + class of all tokens, and where each text's tokens start; texts end with an end."""
+    c = np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int64)
+    lengths = pc.binary_length(column).to_numpy()
+    return np.concatenate([[end], c[:-1]]) * classes + c, np.cumsum(lengths) - lengths
 
 
 def score_documents(docs: DataFrame, classes: int = CLASSES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learn = docs.where(~held_out(F.col("doc_id"), FOLDS))
-    words = checkpointed(vocabulary(learn))
-    model = fit(learn, words, classes)
+    model = fit(learn, classes)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CORE words and a few tables of fixed size
+    words = checkpointed(assign(learn, shared))
     blocks = max(1, -(-model.n_tokens // block_tokens))
     out = held_out(F.col("doc_id"), FOLDS)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", out.alias("held_out"), "text").repartition("block")
 
     def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, seen = shared.value.core_counts, {}
+        core, seen = shared.value.units.core, {}
         for batch in batches:
             blocks_, found = [], []
             for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -248,16 +371,49 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, block_tokens: int =
                 blocks_ += [block] * len(new)
             yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array(found, pa.binary())], names=["block", "word"])
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def classed(left: pa.Table, right: pa.Table) -> pa.Table:
         model = shared.value
         texts = left["text"].to_pylist()
         if not texts:
-            return left.select(["doc_id", "held_out"]).append_column("n_tokens", pa.array([], pa.int64())).append_column("n_known", pa.array([], pa.int64())).append_column("base_score", pa.array([], pa.float64())).append_column("score", pa.array([], pa.float64()))
-        x = model.score(texts, dict(zip(right["word"].to_pylist(), right["n"].to_pylist(), strict=True)))
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(x["n_tokens"], pa.int64()), "n_known": pa.array(x["n_known"], pa.int64()), "base_score": x["base_score"], "score": x["score"]})
-
-    counted = dealt.mapInArrow(block_words, "block long, word binary").join(words, "word").select("block", "word", "n")
-    scored = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            x = {"n_tokens": [], "n_known": [], "lexical": [], "classes": []}
+        else:
+            x = model.classed(texts, right["word"].to_pylist(), right["n"].to_numpy(), right["cls"].to_numpy())
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(x["n_tokens"], pa.int64()), "n_known": pa.array(x["n_known"], pa.int64()), "lexical": pa.array(x["lexical"], pa.float64()), "classes": pa.array(x["classes"], pa.binary())})
+
+    counted = dealt.mapInArrow(block_words, "block long, word binary").join(words, "word").select("block", "word", "n", "cls")
+    rows = "doc_id long, held_out boolean, n_tokens long, n_known long, lexical double, classes binary"
+    met = checkpointed(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(classed, rows))
+    end = int(model.cls[0])
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(_bigram_codes(batch.column(0), end, classes)[0], minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["code", "n"])
+
+    found = met.where(~F.col("held_out")).select("classes").mapInArrow(bigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(classes * classes)
+    n[found["code"].to_numpy()] = found["n"].to_numpy()
+    n = n.reshape(classes, classes)
+    # distinct words of each class
+    distinct = np.bincount(model.cls[: len(model.units.core)][model.core_counts > 0], minlength=classes).astype(np.float64)
+    for r in words.groupBy("cls").count().collect():
+        distinct[r.cls] += r["count"]
+    base = np.log10(model.n_tokens + ADDED * (distinct.sum() + 1))
+    table_ = (_log_transition(n) / np.log(10) - np.log10(n.sum(axis=0) + ADDED * (distinct + 1))[None]).ravel()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                code, starts = _bigram_codes(batch.column("classes"), end, classes)
+                lexical = batch.column("lexical").to_numpy()
+                columns = ["doc_id", "held_out", "n_tokens", "n_known"]
+                scores = [pa.array(lexical - base * batch.column("n_tokens").to_numpy()), pa.array(lexical + np.add.reduceat(table_[code], starts))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *scores], names=[*columns, "base_score", "score"])
+
+    scored = met.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

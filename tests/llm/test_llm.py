@@ -128,6 +128,32 @@ def test_brown_lm(spark, docs):
     assert all(r.score <= 1e-9 for r in got)
 
 
+def test_brown_lm_clusters_rare_words_by_their_neighbours(spark):
+    # of each kind one word is frequent and 3,200 are rare, whose last letters are alike, so that a signature can't tell the kinds apart
+    texts = [" ".join(f"the {w} {('runs', 'tall')[k]} {('fast', 'tree')[k]}" for j in range(8) for k in (0, 1) for w in (f"{'ab'[k]}{i}-{j}zz", ("cat", "big")[k])) for i in range(400)]
+    learn = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = brown_lm.fit(learn, classes=8)
+    got = {bytes(r.word): (r.n, r.cls) for r in brown_lm.assign(learn, spark.sparkContext.broadcast(model)).collect()}
+    want = collections.Counter(w for t in texts for w in t.encode().split())
+    assert {w: x[0] for w, x in got.items()} | {w: int(model.core_counts[i]) for w, i in model.units.core.items()} == want | {b"": 400}
+    n = sum(want.values()) + 400
+    assert set(model.units.core) == {w for w, k in want.items() if k * brown_lm.CORE >= n} | {b""} and model.n_tokens == n
+    odd = [b"", b"a", b".", b"....", b"ab....", b"word,", b"(word).", "\u00e9t\u00e9.".encode(), b"\xff\xfe", *got]
+    assert model.units.of_all(odd).tolist() == [model.units.of(w) for w in odd]
+    # brute force: every word by its own neighbours
+    near = collections.defaultdict(lambda: np.zeros(16))
+    for t in texts:
+        w = [b"", *t.encode().split(), b""]
+        c = [model.cls[model.units.of(x)] for x in w]
+        for i in range(1, len(w) - 1):
+            near[w[i]][c[i - 1]] += 1
+            near[w[i]][8 + c[i + 1]] += 1
+    assert len(got) == 6400 and all(x[1] == np.argmax(np.round(near[w] @ model.likely, 9)) for w, x in got.items())
+    for classes in ({x[1] for w, x in got.items() if w.startswith(k)} for k in (b"a", b"b")):
+        assert len(classes) == 1
+    assert got[b"a0-0zz"][1] != got[b"b0-0zz"][1]
+
+
 def test_licences_inherit_from_the_nearest_directory(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/c/x.py", "code"), ("a/y.py", "This work is licensed under the GNU General Public License, version 3.\ncode"), ("a/z.py", None), ("q.py", "code")]
     got = {r.path: (r.licence, r.origin, r.licence_dir) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
