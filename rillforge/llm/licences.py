@@ -1,10 +1,12 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A file's notice is the lines of its text that hold a licence cue, in their order; of a licence file
-(by its name) the whole text is tried as well. The words of a notice and of each template are
-weighted ``tf * idf``, with idf over the templates, and compared by cosine: the notice's words join
-the templates' few hundred weights, so only words of notices are ever spread out. The best template
-at or above the threshold is the file's own licence.
+A file's passages are its lines with a licence cue, the sentences of these, and windows of several
+lengths over each run of such lines with two lines around, so that wrapped headers and notices inside
+long lines are met. Copyright lines are no part of them. The words of a passage and of each template
+are weighted ``tf * idf``, with idf over the templates, and each passage is compared by cosine; of a
+licence file (by its name) the whole text is tried as well. The best passage at or above the threshold
+gives the file's own licence; "all rights reserved" counts only where nothing else is found. SPDX
+identifiers are taken as they are (cosine 1), with ``-only``, ``-or-later`` and ``+`` left out.
 
 A licence file's licence belongs to its directory. A file without a licence of its own takes that
 of the nearest ancestor directory which has one: each distinct directory joins its ancestors by
@@ -19,11 +21,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Query, table
+from .common import Query, small_batches, table
 
 THRESHOLD = 0.5
 #: Lines with one of these are part of a notice.
@@ -44,7 +49,14 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
 }
-_WORD = r"[^\p{L}\p{N}.\-]+"
+#: Words of which a window holds one at least.
+CUE_WORD = re.compile(r"licen[cs]|unlicen|copyright|rights$|permission$|redistribution$|domain$|gpl|lgpl|agpl")
+WINDOWS = (6, 9, 13, 19, 28, 42)
+SPDX = re.compile(r"(?i)spdx-licen[cs]e-identifier\s*:\s*([^\r\n]*)")
+_SPDX_PART = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
+_COPYRIGHT = re.compile(r"(?i)^[^\w(\u00a9]*(?:copyright\b(?!\s+(?:notice|holder|owner|licen|law|and|interest|statement|disclaimer))|\(c\)\s*\d|\u00a9).*?(?=all rights reserved|(?:released|licen[cs]ed|distributed|available|provided) under|$)")
+_CUE = re.compile(CUE)
+_LICENCE_FILE = re.compile(LICENCE_FILE)
 
 
 def tokens(text: str) -> list[str]:
@@ -52,10 +64,6 @@ def tokens(text: str) -> list[str]:
     return [w for w in (x.strip(".-") for x in re.split(r"[^\w.\-]+|_", text.lower())) if w]
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(text), _WORD), lambda x: F.trim(x, F.lit(".-"))), lambda x: x != "")
-
-
 def template_weights(templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
     """idf of the templates' words, (template, word, weight of the normalised vector), idf of all other words."""
     words = {name: tokens(text) for name, text in templates.items()}
@@ -69,26 +77,97 @@ def template_weights(templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, f
     return idf, out, math.log(1 + n) + 1
 
 
+def spdx_licence(expression: str, names: dict[str, str]) -> str | None:
+    """The licence of an SPDX expression; names: of known identifiers in lower case."""
+    out, ids = [], 0
+    for part in _SPDX_PART.findall(expression):
+        if part in "()" or part.upper() in ("AND", "OR", "WITH"):
+            out.append(part.upper())
+            continue
+        if out and out[-1] not in ("(", "AND", "OR", "WITH"):
+            break  # what follows is no part of the expression
+        base = re.sub(r"(?i)(-only|-or-later|\+)$", "", part.rstrip(".-:"))
+        out.append(names.get(base.lower(), base))
+        ids += 1
+    while out and (out[-1] in ("AND", "OR", "WITH", "(") or out[-1] == ")" and out.count(")") > out.count("(")):
+        out.pop()
+    text = " ".join(out).replace("( ", "(").replace(" )", ")")
+    return (text[1:-1] if ids == 1 and text.startswith("(") and text.endswith(")") else text) if ids else None
+
+
+def passages(text: str) -> list[list[str]]:
+    """Words of the cue lines, of their sentences and of the windows around, without copyright lines."""
+    lines = [_COPYRIGHT.sub("", x) for x in text.split("\n")]
+    cued = [i for i, x in enumerate(lines) if _CUE.search(x)]
+    out = []
+    for i in cued:
+        out.append(tokens(lines[i]))
+        parts = re.split(r"(?<=[.;:!?])\s+", lines[i])
+        out += [tokens(x) for x in parts if len(parts) > 1 and _CUE.search(x)]
+    near = sorted({k for i in cued for k in range(max(0, i - 2), min(len(lines), i + 3))})
+    runs: list[list[str]] = []
+    for k, i in enumerate(near):
+        if not k or near[k - 1] != i - 1:
+            runs.append([])
+        runs[-1] += tokens(lines[i])
+    for words in runs:
+        at = [i for i, w in enumerate(words) if CUE_WORD.search(w)]
+        for size in WINDOWS:
+            step = 1 + size // 5
+            starts = {k * step for i in at for k in range(max(0, -(-(i - size + 1) // step)), i // step + 1)}
+            out += [words[k : k + size] for k in sorted(starts)]
+    return [list(x) for x in dict.fromkeys(tuple(x) for x in out if x)]
+
+
+class Matcher:
+    """Compares passages with templates."""
+
+    def __init__(self, templates: dict[str, str], threshold: float):
+        self.idf, weights, self.other = template_weights(templates)
+        self.threshold = threshold
+        self.of_word: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        for name, word, weight in weights:
+            self.of_word[word].append((name, weight))
+        self.licence = {name: re.sub(r" \(.*", "", name) for name in templates}
+        self.names = {x.lower(): x for x in self.licence.values()}
+
+    def cosines(self, words: list[str]) -> list[tuple[float, str]]:
+        """(cosine, licence) of the templates that reach the threshold."""
+        dot: dict[str, float] = defaultdict(float)
+        square = 0.0
+        for word, tf in Counter(words).items():
+            x = tf * self.idf.get(word, self.other)
+            square += x * x
+            for name, weight in self.of_word.get(word, ()):
+                dot[name] += x * weight
+        norm = math.sqrt(square)
+        return [(c, self.licence[name]) for name, x in dot.items() if (c := round(x / norm, 9)) >= self.threshold]
+
+    def best(self, path: str, text: str) -> tuple[str, float] | None:
+        """Licence and cosine of one file."""
+        named = sorted({x for m in SPDX.finditer(text) if (x := spdx_licence(m[1], self.names))})
+        if named:
+            return " AND ".join(f"({x})" if " OR " in x and len(named) > 1 else x for x in named), 1.0
+        tried = passages(text)
+        if _LICENCE_FILE.search(path):
+            tried.append(tokens(text))
+        found = [(licence == "Proprietary", -c, licence) for words in tried for c, licence in self.cosines(words)]
+        return (min(found)[2], -min(found)[1]) if found else None
+
+
 def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """path, licence, cosine of each distinct (path, notice) of files (path, text) that reaches the threshold."""
-    spark = files.sparkSession
-    idf, weights, other = template_weights(templates)
-    # as many rows as the templates have words
-    weight = F.broadcast(spark.createDataFrame(weights, "template string, word string, weight double"))
-    known = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
-    cued = files.where(F.col("text").rlike(CUE)).select("path", "text")
-    lines = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(CUE)), "\n")
-    notices = F.when(F.col("path").rlike(LICENCE_FILE), F.array(lines, F.col("text"))).otherwise(F.array(lines))
-    counted = (
-        cued.select("path", F.posexplode(notices).alias("part", "notice")).dropDuplicates(["path", "part", "notice"])
-        .select("path", F.xxhash64("part", "notice").alias("n"), F.explode(_tokens(F.col("notice"))).alias("word"))
-        .groupBy("path", "n", "word").agg(F.count("*").alias("tf")).join(known, "word", "left")
-        .select("path", "n", "word", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("x"))
-    )
-    norm = counted.groupBy("path", "n").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = counted.join(weight, "word").groupBy("path", "n", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    cosine = dot.join(norm, ["path", "n"]).select("path", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = cosine.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.regexp_replace("template", r" \(.*", "").alias("licence"))).alias("b"))
+    """path, licence, cosine of each path of files (path, text) with a passage that reaches the threshold."""
+    matcher = Matcher(templates, threshold)  # as large as the templates
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            rows = [(path, *b) for path, text in pairs if (b := matcher.best(path, text))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["path", "licence", "cosine"])
+
+    small_batches(files.sparkSession)
+    found = files.where(F.col("text").rlike(CUE)).select("path", "text").mapInArrow(match, "path string, licence string, cosine double")
+    best = found.groupBy("path").agg(F.min(F.struct((F.col("licence") == "Proprietary").alias("p"), (-F.col("cosine")).alias("c"), "licence")).alias("b"))
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 

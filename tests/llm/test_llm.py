@@ -161,6 +161,24 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     assert got["a/y.py"] == ("GPL-3.0", "own", None) and got["q.py"] == (None, "none", None)
 
 
+def test_licences_of_ordinary_headers(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    files = {
+        "a.js": ("// SPDX-License-Identifier: MIT\ncode", "MIT"),
+        "b.py": ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        "c.c": ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+        "d.c": ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) */", "(MIT OR Apache-2.0)"),
+        "e.py": ("Copyright (c) 2019 Jane Example and contributors\nReleased under the MIT License.", "MIT"),
+        "f.py": (f"{long} Released under the MIT License. {long}", "MIT"),
+        "g.py": (f"{long} released under the MIT License {long}", "MIT"),
+        "h.py": ("# Copyright 2020 A. All rights reserved.\n# Licensed under the Apache License,\n# Version 2.0", "Apache-2.0"),
+        "i.py": ("Copyright (c) 2020 A. All rights reserved.", "Proprietary"),
+        "j.py": ("The driver needs a licence to drive.", None),
+    }
+    got = {r.path: r.licence for r in licences.scan(spark.createDataFrame([(k, v[0]) for k, v in files.items()], "path string, text string")).collect()}
+    assert got == {k: v[1] for k, v in files.items()}
+
+
 def test_models_learn_on_held_out_rows():
     docs = [("la maison est grande et le chat dort " * 3, "fr") if i % 2 else ("the house is large and the cat sleeps " * 3, "en") for i in range(40)]
     model = language.fit([d[0] for d in docs], [d[1] for d in docs])
