@@ -3,9 +3,12 @@
 A file's passages are its lines with a licence cue, the sentences of these, and windows of several
 lengths over each run of such lines with two lines around, so that wrapped headers and notices inside
 long lines are met. Copyright lines are no part of them. The words of a passage and of each template
-are weighted ``tf * idf``, with idf over the templates, and each passage is compared by cosine; of a
-licence file (by its name) the whole text is tried as well. The best passage at or above the threshold
-gives the file's own licence; "all rights reserved" counts only where nothing else is found. SPDX
+are weighted ``tf * idf``, with idf over the templates, and each passage is compared by cosine. A template
+counts only where the passage holds the words that tell its licence from its kin (``REQUIRED``: version,
+ShareAlike, Affero, number of clauses). The best passage at or above the threshold gives the file's own
+licence; where no template's words are met it is ``unknown``, and "all rights reserved" counts only where
+nothing else is found. Of a licence file (by its name) the whole text is compared with full licence texts
+first (``licence_texts``), then its first lines, then all passages. SPDX
 identifiers are taken as they are (cosine 1), with ``-only``, ``-or-later`` and ``+`` left out.
 
 A licence file's licence belongs to its directory. A file without a licence of its own takes that
@@ -23,6 +26,8 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +53,88 @@ TEMPLATES = {
     "MIT (short)": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
+    "Apache-2.0 (title)": "Apache License Version 2.0",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause (short)": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause (short)": "Licensed under the BSD 3-Clause License.",
+    "BSD-4-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC0-1.0": "Creative Commons CC0 1.0 Universal Public Domain Dedication. To the extent possible under law, the author has waived all copyright and related rights.",
+    "CC0-1.0 (short)": "Licensed under CC0 1.0 Universal.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice",
+    "ISC (short)": "Released under the ISC License.",
+    "MIT (title)": "MIT License",
+    "MPL-2.0 (title)": "Mozilla Public License Version 2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense (short)": "Released under the Unlicense.",
 }
+_GNU = {"GPL": ("", ("1.0", "2.0", "3.0")), "LGPL": ("Lesser ", ("2.0", "2.1", "3.0")), "AGPL": ("Affero ", ("3.0",))}
+for _short, (_kind, _versions) in _GNU.items():
+    for _v in _versions:
+        _name, _n = f"{_short}-{_v}", _v.removesuffix(".0")
+        TEMPLATES.setdefault(_name, f"This work is licensed under the GNU {_kind}General Public License, version {_n}.")
+        TEMPLATES.setdefault(f"{_name} (program)", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_kind}General Public License, version {_n}.")
+        TEMPLATES[f"{_name} (published)"] = f"under the terms of the GNU {_kind}General Public License as published by the Free Software Foundation, either version {_n} of the License, or (at your option) any later version."
+        TEMPLATES[f"{_name} (title)"] = f"GNU {_kind}General Public License Version {_n}"
+        TEMPLATES[f"{_name} (short)"] = f"Licensed under {_short}v{_n}."
+        TEMPLATES[f"{_name} (id)"] = f"License: {_name}"
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _short, _kind in _CC.items():
+    for _v in ("3.0", "4.0"):
+        TEMPLATES.setdefault(f"CC-{_short}-{_v}", f"Licensed under CC {_short} {_v}.")
+        TEMPLATES[f"CC-{_short}-{_v} (long)"] = f"This work is licensed under a Creative Commons {_kind} {_v} International License."
+        TEMPLATES[f"CC-{_short}-{_v} (id)"] = f"Licensed under CC-{_short}-{_v}."
+for _v in ("1.0", "2.0"):
+    TEMPLATES[f"EPL-{_v}"] = f"This program is made available under the terms of the Eclipse Public License {_v}"
+    TEMPLATES[f"EPL-{_v} (title)"] = f"Eclipse Public License - v {_v}"
+
+_NO_MORE = r"(?!\d|\.\d)"
+
+
+def _gnu(kind: str, short: str, version: str) -> str:
+    v = re.escape(version.removesuffix(".0")) + (r"(?:\.0)?" if version.endswith(".0") else "") + _NO_MORE
+    name = rf"(?:gnu {kind}general public licen[cs]e|(?<![a-z]){short})"
+    return rf"{name}(?:(?!\d|lesser|library|affero|gnu).){{0,90}}?{v}|version {v} of the {name}"
+
+
+_BSD = r"redistribution and use in source and binary forms"
+#: What the words of a passage must match; {licence: (in the passage, and in the whole text, and not there)}, any of these.
+REQUIRED: dict[str, list[tuple[str, str, str]]] = {
+    "Apache-2.0": [(r"\bapache\b.{0,40}?(?<![\d.])2(?:\.0)?" + _NO_MORE, "", "")],
+    "BSD-2-Clause": [(r"\b(?:2|two)[- ]clause|bsd-2|simplified bsd", "", ""), (_BSD, "redistributions in binary form", r"neither the name|may not be used to endorse|advertising materials")],
+    "BSD-3-Clause": [(r"\b(?:3|three)[- ]clause|bsd-3|(?:new|modified|revised) bsd", "", ""), (_BSD, r"neither the name|may not be used to endorse", "advertising materials")],
+    "BSD-4-Clause": [(r"\b(?:4|four)[- ]clause|bsd-4", "", ""), (_BSD, "advertising materials", "")],
+    "BSL-1.0": [(r"boost software licen[cs]e.{0,12}?1\.0" + _NO_MORE, "", "")],
+    "CC0-1.0": [(r"\bcc0\b|creative commons zero", "", "")],
+    "ISC": [(r"\bisc licen[cs]e|with or without fee is hereby granted provided", "", "")],
+    "MIT": [(r"\bmit\b(?!-)|permission is hereby granted free of charge", "", "")],
+    "MPL-2.0": [(r"mozilla public licen[cs]e.{0,12}?(?<![\d.])2(?:\.0)?" + _NO_MORE, "", "")],
+    "Proprietary": [("all rights reserved", "", "")],
+    "Unlicense": [(r"\bunlicen[cs]e\b|free and unencumbered software", "", "")],
+}
+for _short, (_kind, _versions) in _GNU.items():
+    for _v in _versions:
+        REQUIRED[f"{_short}-{_v}"] = [(_gnu("(?:lesser |library )" if _short == "LGPL" else _kind.lower(), _short.lower(), _v), "", "")]
+for _short, _kind in _CC.items():
+    for _v in ("3.0", "4.0"):
+        _words = re.sub(r"-", "[- ]", _kind.lower()).replace("noncommercial", "non-?commercial").replace("sharealike", "share-?alike").replace("noderivatives", "no-?deriv(?:ative)?s")
+        REQUIRED[f"CC-{_short}-{_v}"] = [(rf"(?:creative commons {_words}|\bcc[- ]{_short.lower()})(?: international| unported| version| v| licen[cs]e)*[- ]{re.escape(_v)}", "", "")]
+for _v in ("1.0", "2.0"):
+    REQUIRED[f"EPL-{_v}"] = [(rf"eclipse public licen[cs]e.{{0,14}}?(?<![\d.]){re.escape(_v)}", "", "")]
+#: The cosine from which a whole text counts as a full licence text.
+FULL = 0.9
+
+
+@cache
+def full_texts() -> dict[str, str]:
+    """Full licence texts, by licence."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
+def distinguished(licence: str, passage: str, whole: str) -> bool:
+    """Whether the words of a passage, and of the text it is of, are those of the licence and of no kin of it."""
+    ways = REQUIRED.get(licence)
+    return ways is None or any(re.search(a, passage) and (not b or re.search(b, whole)) and not (c and re.search(c, whole)) for a, b, c in ways)
 #: Words of which a window holds one at least.
 CUE_WORD = re.compile(r"licen[cs]|unlicen|copyright|rights$|permission$|redistribution$|domain$|gpl|lgpl|agpl")
 WINDOWS = (6, 9, 13, 19, 28, 42)
@@ -119,10 +205,15 @@ def passages(text: str) -> list[list[str]]:
     return [list(x) for x in dict.fromkeys(tuple(x) for x in out if x)]
 
 
+#: Licences that count only where no other is found.
+RANK = {"unknown": 1, "Proprietary": 2}
+
+
 class Matcher:
-    """Compares passages with templates."""
+    """Compares passages with templates, and licence files with full texts."""
 
-    def __init__(self, templates: dict[str, str], threshold: float):
+    def __init__(self, templates: dict[str, str], threshold: float, texts: dict[str, str] | None = None):
+        self.full = Matcher(texts, FULL) if texts else None
         self.idf, weights, self.other = template_weights(templates)
         self.threshold = threshold
         self.of_word: dict[str, list[tuple[str, float]]] = defaultdict(list)
@@ -148,16 +239,39 @@ class Matcher:
         named = sorted({x for m in SPDX.finditer(text) if (x := spdx_licence(m[1], self.names))})
         if named:
             return " AND ".join(f"({x})" if " OR " in x and len(named) > 1 else x for x in named), 1.0
+        whole = tokens("\n".join(_COPYRIGHT.sub("", x) for x in text.split("\n")))
+        joined = " ".join(whole)
+        if _LICENCE_FILE.search(path):
+            if self.full:
+                head = " ".join(whole[:60])
+                found = [(-c, x) for c, x in self.full.cosines(whole) if distinguished(x, joined if x.startswith(("BSD", "MIT", "ISC")) else head, joined)]
+                if found:
+                    return min(found)[1], -min(found)[0]
+            found = self.found(passages("\n".join(text.split("\n")[:12])), joined)
+            if found and found[0] == 0:
+                return found[2], -found[1]
         tried = passages(text)
         if _LICENCE_FILE.search(path):
-            tried.append(tokens(text))
-        found = [(licence == "Proprietary", -c, licence) for words in tried for c, licence in self.cosines(words)]
-        return (min(found)[2], -min(found)[1]) if found else None
+            tried.append(whole)
+        found = self.found(tried, joined)
+        return (found[2], -found[1]) if found else None
+
+    def found(self, tried: list[list[str]], whole: str) -> tuple[int, float, str] | None:
+        """Rank, -cosine and licence of the best of the passages."""
+        out = []
+        for words in tried:
+            near = self.cosines(words)
+            if near:
+                passage = " ".join(words)
+                told = [(RANK.get(x, 0), -c, x) for c, x in near if distinguished(x, passage, whole)]
+                named = [c for c, x in near if x != "Proprietary"]
+                out += told or [(RANK["unknown"], -c, "unknown") for c in sorted(named)[-1:]]
+        return min(out, default=None)
 
 
 def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """path, licence, cosine of each path of files (path, text) with a passage that reaches the threshold."""
-    matcher = Matcher(templates, threshold)  # as large as the templates
+    matcher = Matcher(templates, threshold, full_texts())  # as large as the templates
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +281,7 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
 
     small_batches(files.sparkSession)
     found = files.where(F.col("text").rlike(CUE)).select("path", "text").mapInArrow(match, "path string, licence string, cosine double")
-    best = found.groupBy("path").agg(F.min(F.struct((F.col("licence") == "Proprietary").alias("p"), (-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    best = found.groupBy("path").agg(F.min(F.struct(F.when(F.col("licence") == "Proprietary", RANK["Proprietary"]).when(F.col("licence") == "unknown", RANK["unknown"]).otherwise(0).alias("p"), (-F.col("cosine")).alias("c"), "licence")).alias("b"))
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 

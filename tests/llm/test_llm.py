@@ -179,6 +179,28 @@ def test_licences_of_ordinary_headers(spark):
     assert got == {k: v[1] for k, v in files.items()}
 
 
+def test_licences_are_told_from_their_kin():
+    m = licences.Matcher(licences.TEMPLATES, licences.THRESHOLD, licences.full_texts())
+    of = lambda text, path="x.py": (m.best(path, text) or (None,))[0]
+    for licence, text in licences.full_texts().items():
+        assert of("Copyright (c) 2020 Jane Example\n\n" + text, "a/LICENSE") == licence
+    work = "This work is licensed under {}."
+    for name, licence in {
+        "the GNU General Public License, version 2": "GPL-2.0", "the GNU General Public License, version 3": "GPL-3.0", "the GNU General Public License, version 4": "unknown",
+        "the GNU Lesser General Public License, version 2.1": "LGPL-2.1", "the GNU Lesser General Public License, version 3": "LGPL-3.0", "the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "a Creative Commons Attribution 4.0 International License": "CC-BY-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+        "the Apache License, Version 2.0": "Apache-2.0", "the Apache License, Version 1.1": "unknown", "the ISC License": "ISC", "the Eclipse Public License 2.0": "EPL-2.0",
+    }.items():
+        assert of(work.format(name)) == licence, name
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version."
+    assert of(gpl) == "GPL-2.0" and of(gpl.replace("General", "Lesser General").replace("version 2 ", "version 2.1 ")) == "LGPL-2.1" and of(gpl.replace("General", "Affero General").replace("version 2", "version 3")) == "AGPL-3.0"
+    assert of("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n" + licences.full_texts()["GPL-3.0"].split("\n", 3)[3], "LICENSE") == "AGPL-3.0"
+    opening = licences.full_texts()["BSD-2-Clause"].split("1.")[0]
+    assert of(opening) == "unknown" and of(licences.full_texts()["BSD-2-Clause"]) == "BSD-2-Clause" and of(licences.full_texts()["BSD-3-Clause"]) == "BSD-3-Clause"
+    assert of("Some words before. All rights reserved. And of it\nsome after") == of("one two\nAll rights reserved.") == "Proprietary" and of("See the LICENSE file for details.") is None
+    assert of("This is free and unencumbered software released into the public domain.") == "Unlicense" and of("A driver needs a licence.") is None
+
+
 def test_models_learn_on_held_out_rows():
     docs = [("la maison est grande et le chat dort " * 3, "fr") if i % 2 else ("the house is large and the cat sleeps " * 3, "en") for i in range(40)]
     model = language.fit([d[0] for d in docs], [d[1] for d in docs])
