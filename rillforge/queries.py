@@ -97,6 +97,22 @@ def dedup_fifo_exact(spark, d):
     return ordered.dedup_fifo(rows.unionByName(tail), 100).select("id", "seq")
 
 
+def fifo_rows(spark, d):
+    """Repeats of every seventh id: some within three events of it, which a capacity of 100 drops, and some 105 or more events later, each with one soon after."""
+    e = events(spark, d).withColumn("seq", F.col("seq") * 10)
+    sevenths = e.where((F.col("seq") / 10) % 7 == 0)
+    far = sevenths.where(F.col("seq") < (e.count() - 200) * 10)
+    for rows, gap in ((sevenths, 25), (far, 1055), (far, 1083)):
+        e = e.unionByName(rows.withColumn("seq", F.col("seq") + gap))
+    return e
+
+
+@query("SELECT 'evt-' || event_id AS id, event_id * 10 AS seq FROM events UNION ALL SELECT 'evt-' || event_id, event_id * 10 + 1055 FROM events WHERE event_id % 7 = 0 AND event_id < (SELECT count(*) FROM events) - 200")
+def dedup_fifo_mixed(spark, d):
+    """Repeats inside a capacity of 100 are dropped, those beyond it are accepted again."""
+    return ordered.dedup_fifo(fifo_rows(spark, d), 100).select("id", "seq")
+
+
 FIELDS = {"fields": {"event_type": "string", "user_id": "integer", "value": "float"}}
 _BAD = """SELECT event_id AS seq, 'Update' AS operation, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN '[1]'
  WHEN event_id % 11 = 0 THEN '{"event_type":"' || event_type || '","user_id":' || user_id || '}'

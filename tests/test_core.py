@@ -174,3 +174,8 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
         q.awaitTermination(120)
     want = sorted(r.seq for r in ordered.tx_committed(frame(spark, rows)).collect())
     assert sorted(r.seq for r in spark.read.parquet(out).collect()) == want and want
+
+
+def test_fifo_query_has_repeats_to_drop(spark):
+    rows, kept = queries.fifo_rows(spark, SF), queries.QUERIES["dedup_fifo_mixed"](spark, SF)
+    assert kept.count() > rows.select("id").distinct().count() and kept.count() < rows.count()
