@@ -143,7 +143,10 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clean_text(text: Column) -> Column:
-    """The text without its failing lines; null for null."""
+    """The text without its failing lines; null for null.
+
+    No query or stage calls this: they drop documents, and those kept have their original text.
+    """
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: (F.trim(x, F.lit(SPACES)) == "") | ~_line_fails(x, F.lit(True))), "\n")
 
 

@@ -65,6 +65,18 @@ def test_quality_rules(spark, docs):
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and (not r.kept or not r.base_failed)
 
 
+def test_clean_text_drops_the_failing_lines(spark):
+    good = "A proper sentence with some more words than the least that a line needs."
+    texts = [f"Home | About | Contact | Login\n{good}\n\n{good}\nHome", good, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.c for r in df.orderBy("doc_id").select(quality_rules.clean_text(F.col("text")).alias("c")).collect()]
+    assert got == [f"{good}\n\n{good}", good, "", None]
+    lost = {r.doc_id: r.n_lost_words for r in quality_rules.measure(df).collect()}
+    assert all(lost[i] == len(WORD.findall(t or "")) - len(WORD.findall(c or "")) for i, (t, c) in enumerate(zip(texts, got, strict=True)))
+    text = "Home\n" + " ".join(f"w{i}" for i in range(60)) + "."
+    assert [r.text for r in quality_rules.keep(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [text]  # the stage keeps the original
+
+
 def test_bpe_equals_the_library(spark, docs):
     tiktoken = pytest.importorskip("tiktoken")
     e = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.load_ranks(bpe.default_vocabulary()), special_tokens={})
