@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,28 +23,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a temporary folder used.
+    Only a session on one machine (``local[n]``, as in tests) may do without the setting; a temporary
+    folder then takes its place. On a cluster that would be a folder of one machine, hence an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "rillforge-checkpoints"))
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rillforge-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: Rows of an Arrow batch. Texts are of any length, so a batch of Spark's 10,000 can be large in the JVM and in Python.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch. Texts are of any length, so a batch of Spark's 10,000 rows and 64 MB is large in the JVM and in Python.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have the session's Arrow batches hold ``ARROW_ROWS`` rows at most; a lower setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound the Arrow batches of the session by ``ARROW_ROWS`` and ``ARROW_BYTES``; lower settings stay.
+
+    Spark reads the bounds when a query starts, so they can't be set for one operator alone. Every
+    operator here that runs Python calls this, so no result or memory depends on which ran before.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, which has no such call
+    _libc = None
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name like ``name`` that none of ``taken`` has, whatever the case."""
+    used = {x.lower() for x in taken}
+    return next(x for x in (f"__{name}_{i}" for i in count()) if x.lower() not in used)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of each row that is the same whenever the plan runs.
+
+    Row numbers follow a scan's partitions, so they hold for tables; what comes from a shuffle, whose
+    order may change, is checkpointed first.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = checkpointed(df)
+    return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -68,11 +114,19 @@ def uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def fit_window(text: Column, key: Column, chars: int) -> Column:
+    """What a fit reads of a text: all of it up to ``chars`` characters, else a window of that length at a place drawn by ``key``."""
+    room = F.length(text) - chars
+    start = F.when(room > 0, F.pmod(F.xxhash64(F.lit("window"), key), F.greatest(room, F.lit(0)) + 1) + 1).otherwise(1)
+    return F.substr(text, start.cast("int"), F.lit(chars))
+
+
 def stratified(df: DataFrame, by: str, per_value: int, key: list[str], seed: str, values: int = 256) -> DataFrame:
     """About ``per_value`` rows of each of the ``values`` commonest values of ``by``.
 
     Rows are picked by a hash of ``key``, so the sample is the same on every run. It is meant for
-    fitting only and its size is bounded by ``per_value * values`` in expectation.
+    fitting only and its size is bounded by ``per_value * values`` in expectation; values beyond the
+    commonest ``values`` aren't learned.
     """
     counts = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(values).collect()
     share = F.lit(0.0)
