@@ -10,27 +10,34 @@ until each source has one, whose fraction is settled by a draw.
 
 A source's taken words therefore differ from its target by less than the size of one document.
 
+A source has as many groups as its number of rows asks for, so a hot source is many groups. Rows go to
+groups by a hash of their content; rows that repeat each other are told apart by a number (``ordinals``),
+so a row that is repeated without end is spread like any other.
+
 Defined results: null text has size 0 and takes nothing; the null source is a source of its own and
 comes last; repeated rows are documents of their own; an empty table gives an empty result. Draws
-are hashes of row content and group, so reruns agree.
+are hashes of row content and group, so reruns agree; of rows that repeat each other it is open which
+takes what, as they are alike.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Query, checkpointed, table, uniform, word_count
+from .common import Query, checkpointed, small_batches, table, uniform, word_count
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3.0
 #: Rows that one group of the first level aims at, and residuals that one group of a later level pairs.
-GROUP_ROWS = 4096
+GROUP_ROWS = 512
 FAN_IN = 64
 
 
@@ -55,18 +62,44 @@ def targets(sizes: list[int], weights: list[float], total: float, max_copies: fl
     return out
 
 
-def target_table(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES) -> DataFrame:
-    """One row per source: source, source_size, target.
+def target_table(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, int]:
+    """One row per source: source, source_size, target, groups; and the most groups that a source has.
 
     A driver-side loop over sources, of which there are few; the documents stay on the executors.
     """
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [int(r.n) for r in rows]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], sum(sizes), max_copies)
-    return sized.sparkSession.createDataFrame(
-        [(r.source, n, t) for r, n, t in zip(rows, sizes, wanted, strict=True)], "source string, source_size long, target double"
+    groups = [max(1, -(-r.rows // group_rows)) for r in rows]
+    found = sized.sparkSession.createDataFrame(
+        [(r.source, n, t, g) for r, n, t, g in zip(rows, sizes, wanted, groups, strict=True)], "source string, source_size long, target double, groups long"
     )
+    return found, max(groups, default=1)
+
+
+def _count_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: defaultdict[int, int] = defaultdict(int)
+    for batch in batches:
+        nth = []
+        for x in batch.column("row_hash").to_pylist():
+            nth.append(seen[x])
+            seen[x] += 1
+        yield batch.append_column("nth", pa.array(nth, pa.int64()))
+
+
+def ordinals(rows: DataFrame) -> DataFrame:
+    """rows (..., row_hash, part) with ``ordinal``, which counts the rows of one row_hash from 0.
+
+    Each part counts its own, then the counts of a hash's parts are summed, one row for each part: the
+    repeats of a row never meet in a task. ``part`` is the partition that ``rows`` are checkpointed in.
+    """
+    counted = rows.mapInArrow(_count_repeats, f"{rows._jdf.schema().toDDL()}, nth long")
+    parts = rows.groupBy("row_hash", "part").agg(F.count("*").alias("n"))
+    several = parts.groupBy("row_hash").agg(F.count("*").alias("k")).where("k > 1").select("row_hash")
+    before = Window.partitionBy("row_hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.join(several, "row_hash").select("row_hash", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return counted.join(offsets, ["row_hash", "part"], "left").withColumn("ordinal", F.col("nth") + F.coalesce("offset", F.lit(0))).drop("nth", "offset", "part")
 
 
 def _draw(*parts: object) -> float:
@@ -101,8 +134,9 @@ def _pivot(rows: list[tuple], level: int) -> tuple[list[tuple[int, int]], tuple[
     return done, carry
 
 
-_FIELDS = ["doc_id", "source", "size", "whole", "fraction", "row_hash", "bucket", "extra"]
-_LEVEL = "doc_id long, source string, size long, whole long, fraction double, row_hash long, bucket long, extra long"
+_FIELDS = ["row", "doc_id", "source", "size", "whole", "fraction", "row_hash", "bucket", "groups", "extra"]
+_LEVEL = "row long, doc_id long, source string, size long, whole long, fraction double, row_hash long, bucket long, groups long, extra long"
+_OUT = ("row", "doc_id", "source", "size")
 
 
 def _settle(level: int):
@@ -110,7 +144,7 @@ def _settle(level: int):
 
     def settle(group: pa.Table) -> pa.Table:
         # large documents first: the residual is then likely a small one
-        group = group.sort_by([("size", "descending"), ("row_hash", "ascending"), ("doc_id", "ascending")])
+        group = group.sort_by([("size", "descending"), ("row_hash", "ascending")])
         hashes, sizes, fractions = (group[c].to_pylist() for c in ("row_hash", "size", "fraction"))
         done, carry = _pivot(list(zip(hashes, sizes, fractions, strict=True)), level)
         extra: list[int | None] = [None] * len(hashes)
@@ -130,44 +164,51 @@ def mix(
     max_copies: float = MAX_COPIES,
     group_rows: int = GROUP_ROWS,
     fan_in: int = FAN_IN,
+    row: str | None = None,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row of ``docs`` (doc_id, text, source)."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("row_hash"))
+    """row, doc_id, source, size, source_size, target, copies and taken of every row of ``docs`` (doc_id, text, source).
+
+    row: a long column of ``docs`` to carry along, by which the caller knows its rows again; null if not given.
+    """
+    small_batches(docs.sparkSession)
+    sized = docs.select(
+        (F.col(row) if row else F.lit(None)).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+        F.xxhash64("doc_id", "text", "source").alias("row_hash"), F.spark_partition_id().alias("part"),
+    )
     sized = checkpointed(sized)
-    wanted = target_table(sized, weights, max_copies)
-    n_rows = sized.count()
+    wanted, groups = target_table(sized, weights, max_copies, group_rows)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    told = ordinals(sized).withColumn("row_hash", F.xxhash64("row_hash", "ordinal"))
     # the sources' table is as long as the list of sources; Spark's own size limit decides on broadcasting it
     rows = (
-        sized.join(wanted, sized.source.eqNullSafe(wanted.source), "left").select("doc_id", sized.source, "size", "row_hash", ratio.alias("ratio"))
+        told.join(wanted, told.source.eqNullSafe(wanted.source), "left").select("row", "doc_id", told.source, "size", "row_hash", "groups", ratio.alias("ratio"))
         .withColumn("whole", F.floor(F.col("ratio") + F.lit(1e-9)).cast("long"))
         .withColumn("fraction", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
     )
-    # rows that have nothing to round are settled now
+    # rows that have nothing to round are settled as they come
     plain = (F.col("size") == 0) | (F.col("fraction") < 1e-9)
-    settled = [rows.where(plain).select("doc_id", "source", "size", F.col("whole").alias("copies"))]
-    buckets = max(1, -(-n_rows // group_rows))
-    open_ = rows.where(~plain).select(
-        "doc_id", "source", "size", "whole", "fraction", "row_hash",
-        F.pmod(F.xxhash64("row_hash", F.lit("bucket")), F.lit(buckets)).alias("bucket"), F.lit(None).cast("long").alias("extra"),
-    )
-    level = 0
+    open_ = checkpointed(rows.select(
+        "row", "doc_id", "source", "size", "whole", "fraction", "row_hash", F.pmod(F.xxhash64("row_hash", F.lit("bucket")), "groups").alias("bucket"), "groups", F.when(plain, F.lit(0)).cast("long").alias("extra"),
+    ))
+    done = lambda df, extra: df.select(*_OUT, (F.col("whole") + extra).alias("copies"))
+    settled = [done(open_.where(F.col("extra").isNotNull()), F.col("extra"))]
+    open_, level = open_.where(F.col("extra").isNull()), 0
     while True:
         ran = checkpointed(open_.groupBy("source", "bucket").applyInArrow(_settle(level), _LEVEL))
-        settled.append(ran.where(F.col("extra").isNotNull()).select("doc_id", "source", "size", (F.col("whole") + F.col("extra")).alias("copies")))
+        settled.append(done(ran.where(F.col("extra").isNotNull()), F.col("extra")))
         residual = ran.where(F.col("extra").isNull())
-        if buckets == 1:
+        if groups == 1:
             break
-        buckets, level = max(1, -(-buckets // fan_in)), level + 1
-        open_ = residual.withColumn("bucket", F.pmod(F.col("bucket"), F.lit(buckets)))
+        groups, level = -(-groups // fan_in), level + 1
+        open_ = residual.withColumn("groups", F.ceil(F.col("groups") / F.lit(fan_in))).withColumn("bucket", F.pmod("bucket", "groups"))
     last = (uniform(F.lit("last"), F.col("row_hash"), F.col("source")) < F.col("fraction")).cast("long")
-    settled.append(residual.select("doc_id", "source", "size", (F.col("whole") + last).alias("copies")))
+    settled.append(done(residual, last))
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
     return (
         out.join(wanted, out.source.eqNullSafe(wanted.source), "left")
-        .select("doc_id", out.source, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("row", "doc_id", out.source, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
