@@ -11,11 +11,13 @@ Failing lines are removed. A document is rejected if the lines removed held more
 ``MAX_LOST_SHARE`` of its words, or if a base rule fails.
 
 Defined results: null text counts as empty, has no words and fails the base rules. Repeated rows
-give repeated results. Extra columns don't matter: only the columns named are read.
+give repeated results. Extra columns are kept; a column that has the name of a statistic gives way to
+the statistic (``prefix`` keeps both).
 
 All statistics are computed inside the row, so nothing is shuffled and no group is ever formed.
 Repeated 3-word windows are found by sorting 64-bit numbers, each made of a window's hash (high
-bits) and position (low bits); neighbours with equal hash bits are then compared word by word.
+bits) and position (low bits); neighbours with equal hash bits are then compared word by word. Where
+such neighbours differ, as hashes of very long texts may, the windows themselves are sorted instead.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, Query, table
+from .common import SPACE_RUN, SPACES, Query, fresh, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -51,28 +53,48 @@ def _words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
-def _repeat_words(words: Column, order: Column, shift: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more.
+class _Windows:
+    """The 3-word windows of ``words``. order: each window's hash, its high bits above ``shift`` bits of position, ascending."""
 
-    ``order``: for each window, ascending, its hash's high bits above ``shift`` bits of position.
-    """
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
-    at = lambda i: F.element_at(order, i.cast("int")).bitwiseAND(mask)
-
-    def same(i: Column, j: Column) -> Column:
-        a, b = F.element_at(order, i.cast("int")), F.element_at(order, j.cast("int"))
-        equal_hash = F.call_function("shiftright", a, shift) == F.call_function("shiftright", b, shift)
-        p, q = a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int")
-        word = lambda k, d: F.get(words, k + d)
-        return equal_hash & (word(p, 0) == word(q, 0)) & (word(p, 1) == word(q, 1)) & (word(p, 2) == word(q, 2))
-
-    n = F.size(order)
-    places = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: F.coalesce((i > 1) & same(i, F.greatest(i - 1, F.lit(1))), F.lit(False)) | F.coalesce((i < n) & same(i, F.least(i + 1, n)), F.lit(False)),
-    )
-    covered = F.flatten(F.transform(places, lambda i: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda d: at(i) + d)))
-    return F.when(n < 2, F.lit(0)).otherwise(F.size(F.array_distinct(covered))).cast("long")
+    def __init__(self, words: Column, order: Column, shift: Column):
+        self.words, self.order, self.shift, self.n = words, order, shift, F.size(order)
+        self.mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
+
+    def place(self, i: Column) -> Column:
+        return F.element_at(self.order, i.cast("int")).bitwiseAND(self.mask)
+
+    def equal_hash(self, i: Column, j: Column) -> Column:
+        high = lambda k: F.call_function("shiftright", F.element_at(self.order, k.cast("int")), self.shift)
+        return high(i) == high(j)
+
+    def equal_words(self, i: Column, j: Column) -> Column:
+        p, q = self.place(i).cast("int"), self.place(j).cast("int")
+        word = lambda k, d: F.get(self.words, k + d)
+        return (word(p, 0) == word(q, 0)) & (word(p, 1) == word(q, 1)) & (word(p, 2) == word(q, 2))
+
+    def collide(self) -> Column:
+        """Whether different windows that stand side by side have equal hash bits: equal windows may then stand apart."""
+        return F.exists(F.sequence(F.lit(2), F.greatest(self.n, F.lit(2))), lambda i: F.coalesce(self.equal_hash(i, i - 1) & ~self.equal_words(i, i - 1), F.lit(False)))
+
+    def by_words(self) -> Column:
+        """The windows themselves with their places, in order."""
+        at = lambda x: x.bitwiseAND(self.mask)
+        return F.sort_array(F.transform(self.order, lambda x: F.struct(*(F.get(self.words, at(x).cast("int") + d).alias(f"w{d}") for d in range(3)), at(x).alias("at"))))
+
+    def repeated(self, sorted_windows: Column) -> Column:
+        """Words covered by windows that occur twice or more. sorted_windows: ``by_words`` where hashes collide, else null."""
+        window = lambda i: F.element_at(sorted_windows, i.cast("int"))
+        by_hash = self._covered(lambda i, j: self.equal_hash(i, j) & self.equal_words(i, j), self.place)
+        by_words = self._covered(lambda i, j: (window(i)["w0"] == window(j)["w0"]) & (window(i)["w1"] == window(j)["w1"]) & (window(i)["w2"] == window(j)["w2"]), lambda i: window(i)["at"])
+        return F.when(self.n < 2, F.lit(0).cast("long")).when(sorted_windows.isNull(), by_hash).otherwise(by_words)
+
+    def _covered(self, same, place) -> Column:
+        n = self.n
+        places = F.filter(
+            F.sequence(F.lit(1), n),
+            lambda i: F.coalesce((i > 1) & same(i, F.greatest(i - 1, F.lit(1))), F.lit(False)) | F.coalesce((i < n) & same(i, F.least(i + 1, n)), F.lit(False)),
+        )
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda d: place(i) + d))))).cast("long")
 
 
 def _template_marks(text: Column) -> Column:
@@ -98,13 +120,18 @@ def _line_fails(line: Column, marked: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the five statistics, n_lost_words, base_failed and kept, their names after ``prefix``."""
-    t = f"{prefix}__text"
+    """``docs`` with the five statistics, n_lost_words, base_failed and kept, their names after ``prefix``.
+
+    The statistics come out of a generator, so no filter or projection on them is ever merged into the
+    expressions that compute them, where it would have each written out many times.
+    """
     names = {c: f"{prefix}{c}" for c in (*STATISTICS, "n_lost_words", "base_failed", "kept")}
-    out = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    own = [c for c in docs.columns if c.lower() not in {x.lower() for x in names.values()}]
+    t, w, ln, o, sh, mk, sw = (fresh([*docs.columns, *names.values()], c) for c in ("text", "words", "lines", "order", "shift", "marked", "windows"))
+    out = docs.select(*own, F.coalesce(docs[text], F.lit("")).alias(t))
     lines = F.filter(F.split(F.col(t), "\n", -1), lambda x: F.trim(x, F.lit(SPACES)) != "")
-    out = out.withColumns({f"{prefix}__words": _words(F.col(t)), f"{prefix}__lines": lines})
-    words = F.col(f"{prefix}__words")
+    out = out.withColumns({w: _words(F.col(t)), ln: lines})
+    words = F.col(w)
     n = F.size(words)
     shift = F.length(F.bin(n.cast("long"))).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
@@ -112,34 +139,29 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         words, lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
     )
     order = F.sort_array(F.slice(packed, 1, F.greatest(n - 2, F.lit(0))))
-    out = out.withColumns({f"{prefix}__order": order, f"{prefix}__shift": shift, f"{prefix}__marked": _template_marks(F.col(t))})
-    out = out.withColumns({
-        names["n_words"]: n.cast("long"),
-        names["word_chars"]: F.length(F.array_join(words, "")).cast("long"),
-        names["n_symbols"]: F.regexp_count(F.col(t), F.lit(f"[{SYMBOLS}]")).cast("long"),
-        names["n_dup_lines"]: (F.size(F.col(f"{prefix}__lines")) - F.size(F.array_distinct(F.col(f"{prefix}__lines")))).cast("long"),
-        names["n_repeat_words"]: _repeat_words(words, F.col(f"{prefix}__order"), F.col(f"{prefix}__shift")),
-        names["n_lost_words"]: F.aggregate(
-            F.filter(F.col(f"{prefix}__lines"), lambda x: _line_fails(x, F.col(f"{prefix}__marked"))), F.lit(0).cast("long"), lambda total, x: total + F.size(_words(x))
+    out = out.withColumns({o: order, sh: shift, mk: _template_marks(F.col(t))})
+    windows = _Windows(words, F.col(o), F.col(sh))
+    out = out.withColumn(sw, F.when((windows.n >= 2) & windows.collide(), windows.by_words()))
+    found = {
+        "n_words": n.cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(F.col(t), F.lit(f"[{SYMBOLS}]")).cast("long"),
+        "n_dup_lines": (F.size(F.col(ln)) - F.size(F.array_distinct(F.col(ln)))).cast("long"),
+        "n_repeat_words": windows.repeated(F.col(sw)),
+        "n_lost_words": F.aggregate(
+            F.filter(F.col(ln), lambda x: _line_fails(x, F.col(mk))), F.lit(0).cast("long"), lambda total, x: total + F.size(_words(x))
         ),
-    })
+    }
+    out = out.select(*own, F.inline(F.array(F.struct(*(c.alias(names[k]) for k, c in found.items())))))
     n_words, repeated = F.col(names["n_words"]), F.col(names["n_repeat_words"])
     failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
-    return (
-        out.withColumn(names["base_failed"], failed)
-        .withColumn(names["kept"], ~failed & (F.col(names["n_lost_words"]) <= F.lit(MAX_LOST_SHARE) * n_words))
-        .drop(t, f"{prefix}__words", f"{prefix}__lines", f"{prefix}__order", f"{prefix}__shift", f"{prefix}__marked")
-    )
+    return out.withColumn(names["base_failed"], failed).withColumn(names["kept"], ~failed & (F.col(names["n_lost_words"]) <= F.lit(MAX_LOST_SHARE) * n_words))
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their own columns.
-
-    The row number keeps the filter above the statistics: pushed below, it would have each
-    statistic's whole expression written into it, array steps and all.
-    """
-    measured = measure(docs, text, "__rules_").withColumn("__rules_row", F.monotonically_increasing_id())
-    return measured.where(F.col("__rules_kept") & (F.col("__rules_row") >= 0)).select(*docs.columns)
+    """The documents that the rules keep, with their own columns and their original text."""
+    prefix = fresh((c[:7] for c in docs.columns), "rules")
+    return measure(docs, text, prefix).where(f"`{prefix}kept`").select(*docs.columns)
 
 
 def clean_text(text: Column) -> Column:
