@@ -6,8 +6,9 @@ several centroids, found by spherical k-means over its sample; the nearest by co
 text whose cosine distance to the nearest centroid is greater than the rejection limit of that
 language (a quantile of its sample's own distances, with a margin) is marked as rejected.
 
-Only the fit uses a sample: about ``per_language`` texts of at most ``max_fit_chars`` characters of
-each language. Predictions read every whole text.
+Only the fit uses a sample: about ``per_language`` texts of each of the 256 commonest languages; of texts
+longer than ``max_fit_chars`` characters it reads a window of that length at a drawn place. Predictions
+read every whole text.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; repeated rows give
 repeated results; without any labelled row every text gets ``und``. Extra columns are ignored.
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Query, held_out, stratified, table
+from .common import Query, fit_window, held_out, small_batches, stratified, table
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 13
 CENTROIDS = 6
 PER_LANGUAGE = 400
-MAX_FIT_CHARS = 20_000
+MAX_FIT_CHARS = 10_000
 FOLDS = 5
 
 
@@ -136,13 +137,16 @@ def fit(texts: list[str], languages: list[str], centroids: int = CENTROIDS, dime
 
 def fit_documents(docs: DataFrame, per_language: int = PER_LANGUAGE, max_fit_chars: int = MAX_FIT_CHARS) -> LanguageModel:
     """Fit on the documents that may be learned from (doc_id, text, lang)."""
-    usable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), FOLDS) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_fit_chars))
-    rows = stratified(usable, "lang", per_language, ["doc_id", "text"], "language").dropDuplicates(["doc_id", "text"]).select("text", "lang").collect()
+    usable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), FOLDS) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # a row repeated with several languages is learned with the first by name
+    drawn = stratified(usable, "lang", per_language, ["doc_id", "text"], "language").groupBy("doc_id", F.xxhash64("text").alias("h"), fit_window(F.col("text"), F.col("doc_id"), max_fit_chars).alias("text"))
+    rows = drawn.agg(F.min("lang").alias("lang")).select("text", "lang").collect()
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
 def predict_column(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     """struct<lang_pred, score, rejected> of a text column."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")

@@ -8,7 +8,8 @@ and hands them to the other. At the end both are calibrated on labelled rows tha
 and the score is the logistic of the mean of their calibrated log-odds.
 
 Only the fit uses samples: about ``per_class`` labelled rows of each label and ``pool`` unlabelled
-ones, of at most ``max_fit_chars`` characters. Scores read every whole text.
+ones, in expectation; of longer texts it reads a window of ``max_fit_chars`` characters at a drawn place.
+Scores read every whole text.
 
 Defined results: null text counts as empty, null language and source as values of their own;
 repeated rows give repeated scores; without both labels every score is 0.5. Extra columns are ignored.
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language
-from .common import Query, held_out, stratified, table, uniform
+from .common import Query, fit_window, give_back, held_out, small_batches, stratified, table, uniform
 
 PER_CLASS = 1500
 POOL = 2500
 ROUNDS = 4
 EXCHANGED = 120
-MAX_FIT_CHARS = 20_000
+MAX_FIT_CHARS = 10_000
 FOLDS = 5
 GRAMS = 1 << 12
 HASHED = 256
@@ -140,6 +141,7 @@ class QualityModel:
             a, b = self.text.log_odds(text_view(some)), self.metadata.log_odds(metadata_view(some, langs[part], sources[part]))
             odds = np.stack([(a + b) / 2, a, b], axis=1).astype(float)
             out[part] = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        give_back()
         return out
 
 
@@ -182,21 +184,23 @@ def fit_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     """Fit on docs (doc_id, text, lang, source) and labels (doc_id, quality) that may be learned from."""
     may = ~held_out(F.col("doc_id"), FOLDS)
     known = labels.where(may & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    short = docs.where(may & (F.length(F.coalesce("text", F.lit(""))) <= max_fit_chars)).select("doc_id", "text", "lang", "source")
+    short = docs.where(may).select("doc_id", "text", "lang", "source")
+    window = fit_window(F.col("text"), F.col("doc_id"), max_fit_chars).alias("text")
     # at most about 2 * per_class ids, so they may be broadcast
     picked = F.broadcast(stratified(known, "quality", per_class, ["doc_id"], "quality", values=2))
-    first = lambda df, *by: df.groupBy("doc_id", *by).agg(F.min(F.struct("text", "lang", "source")).alias("d")).select(*by, "d.*", "doc_id")
+    first = lambda df, *by: df.groupBy("doc_id", *by).agg(F.min(F.struct(window, "lang", "source")).alias("d")).select(*by, "d.*", "doc_id")
     rows = first(short.join(picked, "doc_id"), "quality").collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
     n = short.select("doc_id").count()
     share = min(1.0, pool / max(1, n))
-    free = first(short.where(uniform(F.lit("pool"), F.col("doc_id")) < share)).limit(2 * pool).collect()
+    free = first(short.where(uniform(F.lit("pool"), F.col("doc_id")) < share)).collect()
     taken = {r.doc_id for r in rows}
     free = sorted((r for r in free if r.doc_id not in taken), key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
     return co_train([(r.text, r.lang, r.source) for r in rows], np.array([int(r.quality) for r in rows], float), [(r.text, r.lang, r.source) for r in free])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     shared = spark.sparkContext.broadcast(fit_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 

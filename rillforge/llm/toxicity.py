@@ -7,8 +7,8 @@ one. Filters of widths 1, 2 and 3 run over the whole text; the maximum of each o
 into a logistic output. Thresholds are calibrated by language, as predicted from the text by the
 centroids of ``language``: the score is the logistic of the distance to the language's threshold.
 
-Only the fit uses a sample: about ``per_class`` texts of each label of at most ``max_fit_chars``
-characters. Scores read every whole text.
+Only the fit uses a sample: about ``per_class`` texts of each label; of texts longer than
+``max_fit_chars`` characters it reads a window of that length at a drawn place. Scores read every whole text.
 
 Defined results: null and empty texts are scored as texts without a word; repeated rows give
 repeated scores; a document labelled twice counts as toxic if any label says so; null labels are
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language
-from .common import Query, held_out, small_batches, stratified, table
+from .common import Query, fit_window, give_back, held_out, small_batches, stratified, table
 
 PREFIX = 4
 WIDTHS = (1, 2, 3)
@@ -35,7 +35,7 @@ DIM = 8
 BUCKET_BITS = 20
 MIN_DOCUMENTS = 3
 PER_CLASS = 3000
-MAX_FIT_CHARS = 20_000
+MAX_FIT_CHARS = 10_000
 FOLDS = 5
 #: Marks stripped from both ends of a word.
 MARKS = ".,;:!?\"'()[]{}#$%&*|<>-_/\\«»“”‘’¡¿…"
@@ -170,7 +170,7 @@ class ToxicityModel:
             if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= at_least:
                 self.threshold[name] = _best_threshold(logits[own], y[own])
 
-    def score(self, texts: list[str | None], chars: int = 1_000_000) -> np.ndarray:
+    def score(self, texts: list[str | None], chars: int = 500_000) -> np.ndarray:
         """0 to 1; 0.5 is the threshold of the text's language."""
         if not self.weights:
             return np.zeros(len(texts))
@@ -208,7 +208,8 @@ def _best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(texts: list[str | None], labels: list[int], lang: language.LanguageModel | None = None, seed: int = 11, at_least: int = MIN_DOCUMENTS) -> ToxicityModel:
     """Train on four fifths of the rows, calibrate on the rest."""
     order = sorted(range(len(texts)), key=lambda i: xxhash.xxh64_intdigest((texts[i] or "").encode("utf-8", "surrogatepass")))
-    documents, y = [words_of(texts[i]) for i in order], np.array([labels[i] for i in order], np.float32)
+    one: dict[str, str] = {}  # one object for each word, however often it stands in the sample
+    documents, y = [[one.setdefault(w, w) for w in words_of(texts[i])] for i in order], np.array([labels[i] for i in order], np.float32)
     model = ToxicityModel(Features(), language=lang)
     if len(set(labels)) < 2:
         return model
@@ -231,8 +232,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     known = labels.where(~held_out(F.col("doc_id"), FOLDS) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # at most about 2 * per_class ids, so they may be broadcast; the texts of other documents aren't moved
     picked = stratified(known, "toxic", per_class, ["doc_id"], "toxicity", values=2)
-    short = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= max_fit_chars)
-    rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").collect()
+    window = fit_window(F.col("text"), F.col("doc_id"), max_fit_chars)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(window).alias("text")).select("text", "toxic").collect()
     lang = language.fit_documents(docs)
     return fit([r.text for r in rows], [int(r.toxic) for r in rows], lang)
 
@@ -243,7 +244,9 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(texts.to_pylist()), pa.float64())
+        scores = pa.array(shared.value.score(texts.to_pylist()), pa.float64())
+        give_back()
+        return scores
 
     return scored(text)
 
