@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillforge.llm import bpe, brown_lm, components, language, licences, media, mixing, ngram_join, quality_classifier, quality_rules, registry, toxicity
+from rillforge.llm import blocks, bpe, brown_lm, components, language, licences, media, mixing, ngram_join, quality_classifier, quality_rules, registry, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, block long, path string"
@@ -50,7 +50,7 @@ def test_every_row_has_a_result_and_empty_tables_do(spark, docs, empty, name):
     assert query(spark, empty).count() == 0
 
 
-def test_quality_rules(spark, docs):
+def test_quality_rules(spark, docs, monkeypatch):
     def brute(t):
         t = t or ""
         w = WORD.findall(t)
@@ -59,7 +59,12 @@ def test_quality_rules(spark, docs):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
 
-    for r in quality_rules.measure(spark.read.parquet(f"{docs}/documents.parquet")).collect():
+    clashing = spark.read.parquet(f"{docs}/documents.parquet").withColumns({c: F.lit("own") for c in ("kept", "__text_0", "__words_0", "__Order_0", "N_Words")})
+    assert quality_rules.measure(clashing).where("kept and n_words > 50").select("__text_0", "kept").count() > 0  # the filter stays above the statistics
+    assert quality_rules.keep(clashing).columns == clashing.columns and quality_rules.keep(clashing).count() == quality_rules.measure(clashing).where("kept").count()
+    sorted_ = quality_rules.measure(spark.read.parquet(f"{docs}/documents.parquet").where("length(text) < 9000")).collect() if monkeypatch.setattr(quality_rules._Windows, "collide", lambda self: F.lit(True)) is None else []
+    monkeypatch.undo()
+    for r in quality_rules.measure(clashing).collect() + sorted_:  # the second as if all hashes collided
         n = brute(r.text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and (not r.kept or not r.base_failed)
@@ -81,10 +86,25 @@ def test_bpe_equals_the_library(spark, docs):
     tiktoken = pytest.importorskip("tiktoken")
     e = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.load_ranks(bpe.default_vocabulary()), special_tokens={})
     df = spark.read.parquet(f"{docs}/documents.parquet").where("length(text) < 20000 or text is null")
-    for r in df.select("text", bpe.digest_column(F.col("text")).alias("d"), bpe.decode_column(bpe.encode_column(F.col("text"))).alias("back")).collect():
+    odd = [(1000, "x\u00b2\u00bd\u0660 \u2163 a\u0301b \x1c\x85 \u00a0 \u3000 don't 'll _a_ \U0001f44d\U0001f3fd\u200d \t\n  end "), (1001, "aaaa aaaaaaa aaaaaaaaaaaaaaa " * 20), (1002, "\u0130\u0131\u01c5\u02b0\u0250 \u00aa\u00ba")]
+    df = df.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    want = []
+    for r in df.collect():
         ids = e.encode_ordinary(r.text or "")
-        assert r.d.n_tokens == len(ids) and r.d.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        assert bytes(r.back) == (r.text or "").encode() and r.d.decoded_sha256 == hashlib.sha256(bytes(r.back)).hexdigest()
+        want.append((str(r.doc_id), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    for block, replay in ((blocks.BLOCK_BYTES, bpe.REPLAY_BYTES), (500, 50)):
+        got = bpe.encode_documents(bpe.table(spark, docs, "documents").where("length(text) < 20000 or text is null").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")), block_bytes=block, replay_bytes=replay)
+        assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == sorted(want)
+    back = bpe.encode(df.where("doc_id >= 100")).select("doc_id", bpe.decode_column(F.col("ids")).alias("back")).collect()
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert back and all(bytes(r.back) == texts[r.doc_id].encode() for r in back)
+
+
+def test_packed_numbers():
+    for x in ([], [0], [0, 0, 255], [256, 1], [2**32 - 1, 0, 70000]):
+        assert blocks.unpack(blocks.pack(np.array(x, np.uint32))).tolist() == x
+    words = [b"", b"a", "\u00e9\x00".encode(), b"a" * 1000]
+    assert blocks.unpack_bytes(*blocks.pack_bytes(words)) == words
 
 
 def test_join_equals_brute_force(spark, docs):
@@ -120,6 +140,19 @@ def test_mixing(spark):
         assert abs(r.t - r.g) <= 7 and r.m <= 3
 
 
+def test_repeated_rows_are_told_apart(spark):
+    df = spark.createDataFrame([(7, "a b c", "s")] * 3000 + [(None, None, None)] * 500 + [(i, "d e", "s") for i in range(500)], "doc_id long, text string, source string").repartition(6)
+    rows = mixing.checkpointed(df.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), F.spark_partition_id().alias("part")))
+    found = collections.defaultdict(list)
+    for r in mixing.ordinals(rows).collect():
+        found[r.doc_id, r.row_hash].append(r.ordinal)
+    assert len(found) == 502 and all(sorted(x) == list(range(len(x))) for x in found.values())
+    out = mixing.mix(df, group_rows=100).collect()
+    assert len(out) == 4000 and all(r.copies <= 3 for r in out)
+    of = [r for r in out if r.source == "s"]
+    assert abs(sum(r.taken for r in of) - of[0].target) <= 3
+
+
 def test_media_round_trip(spark, docs):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{docs}/documents.parquet").collect()}
     for r in registry.queries()["op9_media_columns"](spark, docs).collect():
@@ -227,13 +260,98 @@ def test_models_learn_on_held_out_rows():
     assert (x[:10] > 0.5).all() and (x[10:] < 0.5).all()
 
 
+def test_models_equal_naive_ones():
+    rng = random.Random(4)
+    words = {"x": [f"{a}{b}o" for a in "bcd" for b in "ae"], "y": [f"{a}{b}ks" for a in "wz" for b in "iu"]}
+    texts, langs = zip(*[(" ".join(rng.choices(words[x], k=30)), x) for x in "xy" * 30], strict=True)
+    model = language.fit(list(texts), list(langs), centroids=3, dimensions=256)
+    for text in (*texts[:6], "bao wiks 12", "qqq"):
+        grams = collections.Counter(language.gram_ids(text, 256).tolist())
+        vector = np.array([math.log1p(grams[i]) * model.idf[i] for i in range(256)])
+        cosines = [float(vector @ c) / math.sqrt(float(vector @ vector)) for c in model.centroids]
+        names, scores, _ = model.predict([text])
+        assert names == [model.languages[model.owner[int(np.argmax(cosines))]]] and scores[0] == pytest.approx(min(1, max(0, *cosines)), abs=1e-4)
+    tox = toxicity.fit([f"{t} {'vile' if i % 3 == 0 else ''}" for i, t in enumerate(texts)], [int(i % 3 == 0) for i in range(60)], at_least=1)
+    for text in ("bao vile wiks", "bao", "", texts[3]):
+        rows = tox.features.rows(toxicity.words_of(text)).tolist()
+        e = [np.concatenate([tox.weights["whole"][a], tox.weights["start"][b]]) for a, b in rows] + [np.zeros(2 * toxicity.DIM)] * (toxicity.GAP + 1)
+        pooled = []
+        for width in toxicity.WIDTHS:
+            at = range(len(rows) + 1)  # a filter may reach into the gap after the text
+            pooled += [max(sum(float(e[i + d] @ tox.weights[f"conv{width}"][d][:, k]) for d in range(width) if i + d < len(e)) for i in at) for k in range(toxicity.FILTERS)]
+        logit = float(np.maximum(np.array(pooled) + tox.weights["bias"], 0) @ tox.weights["out"] + tox.weights["out_bias"][0]) - tox.threshold[""]
+        assert tox.score([text])[0] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-4)
+    view = quality_classifier.text_view(["Ab, ab", ""])
+    assert view.shape[0] == 2 and view[1].sum() == 1 and (view >= 0).all()
+
+
 def test_pipeline_stages_keep_columns(spark, docs, empty):
     import corpus_pipeline
 
     for path in (docs, empty):
-        df = spark.read.parquet(f"{path}/documents.parquet")
+        df = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit(c) for c in ("__row_0", "__Copies_0", "copies", "class_id", "kept", "target")})
         columns = df.columns
         for name, stage in corpus_pipeline.STAGES:
             df = corpus_pipeline.checkpointed(stage(spark, df, path))
             assert name == corpus_pipeline.STAGES[-1][0] or df.columns == columns
     assert df.count() == 0
+
+
+def _shingled(text):
+    w = WORD.findall(text or "")
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+
+
+def test_pipeline_stages_equal_brute_force(spark, docs):
+    """Each stage on the input of the stage before, nulls, repeated ids and repeated rows among them."""
+    import corpus_pipeline
+
+    stages, df = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{docs}/documents.parquet")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text)
+    bag = lambda rows: collections.Counter(map(key, rows))
+    before, after = df.collect(), corpus_pipeline.checkpointed(stages["toxicity"](spark, df, docs))
+    model = toxicity.fit_documents(df, spark.read.parquet(f"{docs}/labels.parquet").select("doc_id", "toxic"))
+    assert bag(after.collect()) == bag([r for r in before if model.score([r.text])[0] < 0.5])
+    kept = collections.Counter()
+    for r in quality_rules.measure(after).collect():
+        kept[key(r)] += r.kept
+    df = corpus_pipeline.checkpointed(stages["quality_rules"](spark, after, docs))
+    assert bag(df.collect()) == +kept and kept
+    # near copies, on the whole table: the first of each class stays
+    whole = spark.read.parquet(f"{docs}/documents.parquet")
+    sets = [(key(r), _shingled(r.text)) for r in before]
+    union = components.UnionFind()
+    for i, (_, a) in enumerate(sets):
+        union.find(i)
+        for j in range(i):
+            if a and sets[j][1] and len(a & sets[j][1]) >= 0.8 * len(a | sets[j][1]):
+                union.join(i, j)
+    classes = collections.defaultdict(list)
+    for i, (k, _) in enumerate(sets):
+        classes[union.find(i)].append(k)
+    got = bag(stages["ngram_join"](spark, whole, docs).collect())
+    assert len(classes) == sum(got.values()) and all(sum(got[k] for k in set(x)) == 1 for x in classes.values())
+    assert all(got[min(x, key=lambda k: k[:2] if k[1] is not None else (True, 0))] for x in classes.values() if len({k[:2] for k in x}) == len(x))
+    # mixing: each row its own copies
+    mixed = stages["mixing"](spark, whole, docs).collect()
+    sources = {r.source for r in before}
+    n = lambda t: len(WORD.findall(t or ""))
+    by = sorted(sources, key=lambda x: (x is None, x or ""))
+    sizes = [sum(n(r.text) for r in before if r.source == x) for x in by]
+    for x, target in zip(by, mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(by))], sum(sizes)), strict=True):
+        assert abs(sum(n(r.text) for r in mixed if r.source == x) - target) <= max(n(r.text) for r in before)
+    copies, rows_ = bag(mixed), bag(before)
+    assert all(copies[k] <= 3 * rows_[k] for k in copies)
+
+
+def test_null_and_repeated_ids_in_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string, __copies string")
+    got = stages["ngram_join"](spark, frame([(5, x, "s", "a"), (5, y, "s", "b"), (3, x, "s", "c"), (None, y, "s", "d")]), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, x), (5, y)]
+    many = [(None, f"{x} {i}", "s", "a") for i in range(100)]
+    out = stages["mixing"](spark, frame(many), "").collect()
+    assert collections.Counter(map(tuple, out)) == collections.Counter(many) and stages["mixing"](spark, frame(many), "").columns == ["doc_id", "text", "source", "__copies"]
