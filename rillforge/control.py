@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -112,8 +112,8 @@ class Metrics:
         return server
 
 
-def observed(df: DataFrame, name: str = "cdc") -> DataFrame:
-    """Throughput and replication lag as observed metrics of the query."""
+def observed(df: DataFrame, name: str | Observation = "cdc") -> DataFrame:
+    """Throughput and replication lag as observed metrics of the query, by name or as an observation to read."""
     lag = F.unix_micros(F.current_timestamp()) - F.unix_micros(F.col("timestamp").cast("timestamp"))
     return df.observe(name, F.count(F.lit(1)).alias("throughput"), F.max(lag).alias("max_lag_micros"), F.avg(lag).alias("avg_lag_micros"))
 

@@ -43,26 +43,39 @@ def djb2(text: Column) -> Column:
     return F.lower(F.lpad(F.conv(F.aggregate(places, F.lit(5381).cast("decimal(20,0)"), step).cast("string"), 10, 16), 16, "0"))
 
 
-def _secret(key: bytes) -> Column:
-    return F.unhex(F.lit(hashlib.sha256(key).hexdigest()))
+KEYS = "__keys"
 
 
-def encrypt(text: Column, keys: KeyStore) -> Column:
-    """ENC:v{version}:{base64 of AES-GCM}; the key never enters the result."""
-    version, key = keys.active()
-    return F.concat(F.lit(f"ENC:v{version}:"), F.base64(F.aes_encrypt(text, _secret(key), F.lit("GCM"))))
+def with_keys(df: DataFrame, keys: KeyStore) -> DataFrame:
+    """``df`` with the column ``KEYS``: a map from version to key. Keys are data of a one-row table, no literals, so plans, UI and event logs don't show them."""
+    held = {v: hashlib.sha256(keys.by_version(v)).digest() for v in range(1, keys.version + 1)}
+    one = df.sparkSession.createDataFrame([(1, held)], f"__one int, {KEYS} map<int,binary>")
+    # one row of a key for each version, so it may be broadcast
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one", "left").drop("__one")
 
 
-def decrypt(text: Column, keys: KeyStore) -> Column:
+def encrypt(text: Column, version: int) -> Column:
+    """ENC:v{version}:{base64 of AES-GCM}, in a frame ``with_keys``; the key never enters the result."""
+    return F.concat(F.lit(f"ENC:v{version}:"), F.base64(F.aes_encrypt(text, F.col(KEYS)[version], F.lit("GCM"))))
+
+
+def decrypt(text: Column) -> Column:
+    """What ``encrypt`` made, by the key of its version, in a frame ``with_keys``; null for an unknown version."""
     parts = F.split(text, ":", 3)
-    out = F.lit(None).cast("string")
-    for version in range(1, keys.version + 1):
-        out = F.when(parts[1] == f"v{version}", F.aes_decrypt(F.unbase64(parts[2]), _secret(keys.by_version(version)), F.lit("GCM")).cast("string")).otherwise(out)
-    return out
+    key = F.try_element_at(F.col(KEYS), F.substring(parts[1], 2, 10).try_cast("int"))
+    return F.when(key.isNotNull(), F.aes_decrypt(F.unbase64(parts[2]), key, F.lit("GCM")).cast("string"))
+
+
+def encrypt_column(df: DataFrame, name: str, keys: KeyStore) -> DataFrame:
+    return with_keys(df, keys).withColumn(name, encrypt(F.col(name), keys.version)).drop(KEYS)
+
+
+def decrypt_column(df: DataFrame, name: str, keys: KeyStore) -> DataFrame:
+    return with_keys(df, keys).withColumn(name, decrypt(F.col(name))).drop(KEYS)
 
 
 def mask(json: Column, rules: dict[str, MaskingRule], keys: KeyStore | None = None, compat: bool = False) -> Column:
-    """Top-level fields of a JSON object masked by rule; text without such a field stays as it is.
+    """In a frame ``with_keys`` if keys are given. Top-level fields of a JSON object masked by rule; text without such a field stays as it is.
 
     Encryption without a key store is an error, unless ``compat``: then strings become a fixed text
     and other values stay.
@@ -81,7 +94,7 @@ def mask(json: Column, rules: dict[str, MaskingRule], keys: KeyStore | None = No
             elif rule is MaskingRule.HASH:
                 new = F.when(is_text, djb2(text).cast("variant")).otherwise(x)
             elif keys is not None:
-                new = encrypt(F.to_json(x), keys).cast("variant")
+                new = encrypt(F.to_json(x), keys.version).cast("variant")
             else:
                 new = F.when(is_text, F.lit("[ENCRYPTED_WITHOUT_KMS]").cast("variant")).otherwise(x)
             out = F.when(k == name, new).otherwise(out)
@@ -93,4 +106,5 @@ def mask(json: Column, rules: dict[str, MaskingRule], keys: KeyStore | None = No
 
 def apply_rules(df: DataFrame, rules: dict[str, MaskingRule], keys: KeyStore | None = None, compat: bool = False) -> DataFrame:
     """before and after masked; keys of events aren't."""
-    return df.withColumns({c: mask(F.col(c), rules, keys, compat) for c in ("before", "after")})
+    masked = {c: mask(F.col(c), rules, keys, compat) for c in ("before", "after")}
+    return with_keys(df, keys).withColumns(masked).drop(KEYS) if keys is not None else df.withColumns(masked)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,21 +40,30 @@ class FifoDedup:
 
 
 def dedup_fifo(df: DataFrame, capacity: int = 1000, source: str = "source_database") -> DataFrame:
-    """The exact bounded form, one source after another in seq order; sequential within a source by nature."""
+    """The exact bounded form: each source in seq order, which is sequential by nature.
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("seq")
-        state = FifoDedup(capacity)
-        return group.filter(pa.array([not state.check(x) for x in group["id"].to_pylist()], pa.bool_()))
+    Spark sorts (and spills); the Python step streams over the batches and holds ``capacity`` ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            keep = []
+            for name, id in zip(batch.column(source).to_pylist(), batch.column("id").to_pylist(), strict=True):
+                if state is None or name != now:
+                    now, state = name, FifoDedup(capacity)
+                keep.append(not state.check(id))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.groupBy(source).applyInArrow(run, df.schema)
+    return df.repartition(source).sortWithinPartitions(source, "seq").mapInArrow(run, df.schema)
 
 
 def with_terminator(df: DataFrame, source: str = "source_database") -> DataFrame:
     """Adds terminator and terminator_seq, the next Commit or Rollback at or after each row of its transaction."""
-    w = Window.partitionBy(source, "transaction_id").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # backwards, so that the frame only grows: one pass over a transaction of any length
+    w = Window.partitionBy(source, "transaction_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.when(F.col("operation").isin(*TERMINATORS), F.struct(F.col("operation").alias("op"), F.col("seq").alias("at")))
-    return df.withColumn("__t", F.first_value(end, True).over(w)).withColumns({"terminator": F.col("__t.op"), "terminator_seq": F.col("__t.at")}).drop("__t")
+    return df.withColumn("__t", F.last_value(end, True).over(w)).withColumns({"terminator": F.col("__t.op"), "terminator_seq": F.col("__t.at")}).drop("__t")
 
 
 def _open(df: DataFrame, ended: str | None) -> DataFrame:
@@ -85,7 +95,16 @@ def tx_prune(df: DataFrame, max_open: int, source: str = "source_database") -> D
     flight = tx_in_flight(df)
     # distinct transactions are counted in two steps, so a source's rows needn't meet in one task
     counts = flight.select(source, "transaction_id").distinct().groupBy(source).agg(F.count("*").alias("__n"))
-    return flight.join(counts, source).where(F.col("__n") <= max_open).drop("__n")
+    return flight.join(_small(counts), source).where(F.col("__n") <= max_open).drop("__n")
+
+
+#: Rows that may be broadcast: marker intervals, or one row for each source.
+BROADCAST_ROWS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if a count of it allows one; else the join shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def load_chunk(rows: DataFrame, position: str = "pos") -> DataFrame:
@@ -105,7 +124,8 @@ def reconcile(chunk: DataFrame, log: DataFrame, marker: str = MARKER_TABLE, sour
 
     Any delete of a key drops its row; else the last create or update gives after (null too) and timestamp.
     """
-    spans = windows(log, marker, source).withColumnRenamed(source, "__s")
+    # few markers make few spans; broadcast, they leave the log's events where they are
+    spans = _small(windows(log, marker, source).withColumnRenamed(source, "__s"))
     events = drop_markers(log, marker).where(F.col("operation").isin("Create", "Update", "Delete"))
     inside = events.join(spans, (events[source] == F.col("__s")) & (F.col("seq") > F.col("low")) & (F.col("high").isNull() | (F.col("seq") < F.col("high"))), "left_semi")
     gone = F.max((F.col("operation") == "Delete").cast("int")).alias("__gone")
@@ -149,6 +169,32 @@ def process_chunks(chunks: DataFrame, rows: DataFrame, key: str, size: int, tota
     return chunks.join(counts, "chunk_id", "left").select("chunk_id", "min_key", "max_key", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.lit("Completed").alias("status"))
 
 
+def run_chunks(chunks: DataFrame, work: Callable[[int, int, int], int], workers: int = 4) -> DataFrame:
+    """chunks with n_rows, status and error after ``work(chunk_id, min_key, max_key)``, which tells the rows it did.
+
+    A chunk is Completed, or Failed with the error's text; a failing chunk stops no other. Chunks that are
+    Completed already (a status column) aren't run again, so a second run takes up what is left.
+    """
+    if workers < 1:
+        raise ValueError("chunks need a worker")
+    known = chunks if "status" in chunks.columns else chunks.withColumns({"n_rows": F.lit(0).cast("long"), "status": F.lit("Pending"), "error": F.lit(None).cast("string")})
+    todo = known.where("status <> 'Completed'").select("chunk_id", "min_key", "max_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for chunk in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                try:
+                    rows.append((*chunk, int(work(*chunk)), "Completed", None))
+                except Exception as e:
+                    rows.append((*chunk, 0, "Failed", f"{type(e).__name__}: {e}"))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["chunk_id", "min_key", "max_key", "n_rows", "status", "error"])
+
+    done = todo.repartition(workers, "chunk_id").mapInArrow(run, "chunk_id int, min_key long, max_key long, n_rows long, status string, error string")
+    return done.unionByName(known.where("status = 'Completed'").select("chunk_id", "min_key", "max_key", "n_rows", "status", "error"))
+
+
 def progress(done: DataFrame) -> DataFrame:
     return done.agg(F.concat(F.count_if(F.col("status") == "Completed").cast("string"), F.lit("/"), F.count("*").cast("string")).alias("progress"))
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .envelope import from_events, serialize
+from .control import Election, Peers, observed
+from .envelope import COLUMNS, SCHEMA, from_events, serialize
 from .functions import security
 from .operators import ordered, stateless
 from .plans import pipelines
 from .sources import generators, sinks
-from .state import SchemaCompatibility, check_compatibility, latest_offsets
+from .state import SchemaCompatibility, StateStore, check_compatibility, latest_offsets
+from .streaming import processors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -276,18 +280,19 @@ def mask_hash_djb2(spark, d):
 def mask_encrypt_roundtrip(spark, d):
     keys = security.KeyStore(b"first test key")
     keys.rotate(b"second test key")
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", security.encrypt(F.col("c_name"), keys).alias("x"))
-    return c.select("c_custkey", security.decrypt(F.col("x"), keys).alias("plain"), F.substring("x", 1, 6).alias("prefix"))
+    c = security.encrypt_column(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_name").alias("plain")), "plain", keys)
+    return security.decrypt_column(c.withColumn("prefix", F.substring("plain", 1, 6)), "plain", keys)
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS version, c_name AS plain FROM customer")
 def kms_rotation(spark, d):
     """Values under an old key stay readable after a rotation."""
     keys, c = security.KeyStore(b"first test key"), spark.read.parquet(f"{d}/customer.parquet")
-    old = c.where("c_custkey % 2 = 0").select("c_custkey", security.encrypt(F.col("c_name"), keys).alias("x"))
+    half = lambda r: c.where(f"c_custkey % 2 = {r}").select("c_custkey", F.col("c_name").alias("plain"))
+    old = security.encrypt_column(half(0), "plain", keys)
     keys.rotate(b"second test key")
-    both = old.unionByName(c.where("c_custkey % 2 <> 0").select("c_custkey", security.encrypt(F.col("c_name"), keys).alias("x")))
-    return both.select("c_custkey", F.split("x", ":")[1].alias("version"), security.decrypt(F.col("x"), keys).alias("plain"))
+    both = old.unionByName(security.encrypt_column(half(1), "plain", keys)).withColumn("version", F.split("plain", ":")[1])
+    return security.decrypt_column(both, "plain", keys)
 
 
 @query(f"SELECT id, {BUCKET_SQL.format('key', 4)} AS partition FROM ({ENVELOPE_SQL})")
@@ -351,3 +356,168 @@ def flagship(spark, d):
     committed = ordered.tx_committed(events(spark, d))
     last = ordered.last_write_wins(committed, ["key"], [F.col("timestamp"), -F.col("seq")])
     return stateless.route(last, 4).select("id", "key", "operation", "partition")
+
+
+def _folder(spark) -> str:
+    """A new folder for what a query writes: in the shared folder of a cluster, or a temporary one where none is named."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared or tempfile.mkdtemp(prefix='rillforge-')}/query-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT {BUCKET_SQL.format('key', 4)} AS partition, count(*) AS n, count(DISTINCT key) AS keys FROM ({ENVELOPE_SQL}) GROUP BY 1")
+def sink_topic_files(spark, d):
+    """What a topic's folders hold, by partition."""
+    path = _folder(spark)
+    sinks.topic_files(stateless.route(events(spark, d), 4), path)
+    return spark.read.parquet(path).groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("SELECT 'evt-' || event_id AS id, 'eu' AS cluster_id, true AS whole FROM events WHERE event_id % 3 <> 0")
+def sink_forwarded(spark, d):
+    """Envelopes for the one active peer, without those that came from it."""
+    peers = Peers("us")
+    for cluster, active in (("us", True), ("eu", True), ("ap", False)):
+        peers.register(cluster, f"https://{cluster}.example.com", active)
+    e = events(spark, d).withColumn("transaction_id", F.when(F.col("seq") % 3 == 0, F.lit("remote-eu-1")).otherwise(F.col("transaction_id")))
+    (path,) = sinks.forward_to_peers(e, peers, _folder(spark))
+    out = spark.read.schema("cluster_id string, id string, payload string, payload_bytes long").json(path)
+    return out.select("id", "cluster_id", ((F.octet_length("payload") == F.col("payload_bytes")) & F.try_parse_json("payload").isNotNull()).alias("whole"))
+
+
+@query("SELECT 'evt-' || event_id AS id, sink FROM events, (VALUES ('first'), ('second')) t(sink)")
+def sink_fan_out(spark, d):
+    """Every sink has the batch, once, though it is written twice."""
+    path = _folder(spark)
+    write = sinks.fan_out(sinks.batch_files(f"{path}/first"), sinks.batch_files(f"{path}/second", "json"))
+    for _ in range(2):
+        write(events(spark, d).select("id"), 7)
+    return spark.read.parquet(f"{path}/first").select("id", F.lit("first").alias("sink")).unionByName(spark.read.schema("id string").json(f"{path}/second").select("id", F.lit("second").alias("sink")))
+
+
+@query("SELECT l_orderkey::VARCHAR AS key, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS n FROM lineitem) WHERE n = 1")
+def load_chunk(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("key"), "l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"))
+    return ordered.load_chunk(li).select("key", "l_partkey")
+
+
+def _streamed(spark, df):
+    """``df`` as a stream of files."""
+    path = _folder(spark)
+    df.select(*COLUMNS).write.parquet(path)
+    return spark.readStream.schema(SCHEMA).parquet(path)
+
+
+def _drained(spark, stream):
+    path = _folder(spark)
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+def _rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.PROVIDER)
+
+
+@query("SELECT o_orderkey * 2 AS seq, (o_orderkey * 2 > 4001 AND o_orderkey * 2 < 5001) OR (o_orderkey * 2 > 7001 AND o_orderkey * 2 < 7301) AS in_window FROM orders")
+def watermark_window_flag(spark, d):
+    """The stream's in_window flag of each event."""
+    _rocksdb(spark)
+    log = _log(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("id", "before", "transaction_id", "offset")})
+    return _drained(spark, processors.mark_windows(_streamed(spark, log))).select("seq", "in_window")
+
+
+@query("SELECT 'evt-' || event_id AS id, event_id * 10 AS seq FROM events UNION ALL SELECT 'evt-' || event_id, event_id * 10 + 1055 FROM events WHERE event_id % 7 = 0 AND event_id < (SELECT count(*) FROM events) - 200")
+def stream_dedup_fifo(spark, d):
+    """The stream's bounded dedup on the input of ``dedup_fifo_mixed``."""
+    _rocksdb(spark)
+    return _drained(spark, processors.dedup(_streamed(spark, fifo_rows(spark, d)), 100)).select("id", "seq")
+
+
+def _composed(spark, d):
+    """Events with bad payloads and a poisoned transform, through the composed stream."""
+    _rocksdb(spark)
+    e = events(spark, d).withColumn("after", F.when(F.col("seq") % 17 == 0, F.lit(None)).otherwise(F.col("after")))
+    transform = lambda df: df.withColumn("error_reason", F.when(F.col("seq") % 50 == 1, F.lit("Transform: poison")))
+    path = _folder(spark)
+    store = StateStore(spark, f"{path}/state")
+    assert processors.start(_streamed(spark, e), None, path, is_leader=lambda: False) is None
+    processors.start(_streamed(spark, e), pipelines.Config(FIELDS, transform=transform), path, store, lambda: Election().tick().tick().is_leader).wait()
+    return path, store
+
+
+_VALID = "SELECT * FROM ({0}) WHERE NOT (seq % 17 = 0 AND operation IN ('Create', 'Update'))".format(ENVELOPE_SQL)
+
+
+@query(f"WITH e AS ({_VALID}) SELECT id, {BUCKET_SQL.format('key', 4)} AS partition, max(seq) OVER ()::VARCHAR AS saved FROM ({COMMITTED_SQL}) WHERE terminator = 'Commit' AND seq % 50 <> 1")
+def stream_transactional(spark, d):
+    """What the composed stream writes, with the offset that it saves."""
+    path, store = _composed(spark, d)
+    return spark.read.parquet(f"{path}/events").select("id", "partition", F.lit(store.get_offset("app")).alias("saved"))
+
+
+@query(f"""WITH e AS ({_VALID}) SELECT id, 'Transform' AS failed_step, 'Transform: poison' AS error_reason FROM ({COMMITTED_SQL}) WHERE terminator = 'Commit' AND seq % 50 = 1
+ UNION ALL SELECT id, 'SchemaValidation', 'Validation failed: Event payload ''after'' is missing' FROM ({ENVELOPE_SQL}) WHERE seq % 17 = 0 AND operation IN ('Create', 'Update')""")
+def stream_dead_letters(spark, d):
+    path, _ = _composed(spark, d)
+    letters = spark.read.parquet(f"{path}/letters_transform").unionByName(spark.read.parquet(f"{path}/letters_validation"))
+    return letters.select("failed_event.id", "failed_step", "error_reason")
+
+
+@query("""SELECT c_custkey, '{"c_name":"' || lower(lpad(to_hex(list_reduce(list_transform(range(1, length(c_name) + 1), lambda i: ascii(c_name[i])::HUGEINT),
+ lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT, 5381::HUGEINT)::UBIGINT), 16, '0')) || '","c_nationkey":"[REDACTED]"}' AS after, true AS same_key, 'ENC:v1:' AS sealed FROM customer""")
+def payload_security(spark, d):
+    """Rules on whole events: after and before are masked, the key isn't."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    body = F.to_json(F.struct("c_name", "c_nationkey"))
+    e = c.select("c_custkey", F.to_json(F.struct("c_name")).alias("key"), body.alias("after"), F.to_json(F.struct("c_mktsegment")).alias("before"), F.to_json(F.struct("c_name")).alias("was"))
+    rules = {"c_name": security.MaskingRule.HASH, "c_nationkey": security.MaskingRule.REDACT, "c_mktsegment": security.MaskingRule.ENCRYPT}
+    out = security.apply_rules(e, rules, security.KeyStore(b"test key"))
+    return out.select("c_custkey", "after", (F.col("key") == F.col("was")).alias("same_key"), F.regexp_extract("before", '"(ENC:v1:)', 1).alias("sealed"))
+
+
+@query(f"SELECT i::INT AS chunk_id, CASE WHEN i = 1 THEN 0 ELSE least((i + 1) * 700, {_N}) - i * 700 END AS n_rows, CASE WHEN i = 1 THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN i = 1 THEN 'ValueError: chunk 1' END AS error FROM range(0, ({_N} + 699) // 700) t(i)")
+def snapshot_work(spark, d):
+    """A function for each chunk; the one that fails stops no other."""
+
+    def work(chunk_id: int, low: int, high: int) -> int:
+        if chunk_id == 1:
+            raise ValueError("chunk 1")
+        return high - low + 1
+
+    return ordered.run_chunks(ordered.plan_chunks(spark, spark.read.parquet(f"{d}/orders.parquet").count(), 700), work).select("chunk_id", "n_rows", "status", "error")
+
+
+@query("SELECT 'cas-evt-' || n AS id, n AS seq, 'sensor-' || (n % 10) AS sensor FROM range(1, 41) t(n)")
+def sensor_source(spark, d):
+    """The data source, whose first two attempts to connect fail."""
+    generators.register(spark)
+    df = spark.read.format("rillforge_sensors").option("count", 40).option("failures", 2).load()
+    return df.select("id", "seq", F.get_json_object("after", "$.sensor_id").alias("sensor"))
+
+
+@query("SELECT 'pg-evt-' || n AS id, n AS seq FROM range(778, 788) t(n)")
+def resume_from_store(spark, d):
+    """A source takes up after the offset that the store has of it."""
+    store = StateStore(spark, _folder(spark))
+    for offset in ("5", "777"):
+        store.save_offset("pg_users", offset)
+    return generators.resumed(spark, store, "pg_users", "rillforge_users", 10).select("id", "seq")
+
+
+@query(f"WITH e AS (SELECT * FROM ({ENVELOPE_SQL}) WHERE seq % 28 <> 3), f AS (SELECT * FROM ({COMMITTED_SQL}) WHERE terminator IS NULL) SELECT id FROM f WHERE (SELECT count(DISTINCT transaction_id) FROM f) <= 2")
+def tx_prune_all(spark, d):
+    """More open transactions than allowed: all are dropped."""
+    return ordered.tx_prune(events(spark, d).where("seq % 28 <> 3"), 2).select("id")
+
+
+@query("SELECT 'evt-' || event_id AS id, false AS passed FROM events")
+def smt_too_long(spark, d):
+    """The passthrough's limit of bytes: longer envelopes fail."""
+    return stateless.split(stateless.passthrough(100)(events(spark, d)))[1].select("id", (F.col("error_reason") != "MemoryAccess: envelope is too long").alias("passed"))
+
+
+@query("SELECT count(*) AS throughput, true AS has_lag FROM events")
+def metrics_observed(spark, d):
+    """The metrics that a run of the query reports."""
+    seen = Observation("cdc")
+    observed(events(spark, d), seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["throughput"], seen.get["max_lag_micros"] > 0)], "throughput long, has_lag boolean")

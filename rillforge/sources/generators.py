@@ -96,20 +96,43 @@ def _row(n: int) -> tuple:
     return (f"pg-evt-{n}", "app_db", "users", kind, now, f'{{"id":{n}}}', None, after, f"tx-{(n - 1) // 4 + 1000}", str(n), n)
 
 
+def _reading(n: int) -> tuple:
+    """A row as ``commit_log`` gives it."""
+    import datetime
+
+    now, sensor = datetime.datetime.now(datetime.UTC).replace(tzinfo=None), f"sensor-{n % 10}"
+    after = f'{{"sensor_id":"{sensor}","reading_value":{round(20 + n * 0.1, 3)},"status":"OK"}}'
+    return (f"cas-evt-{n}", "app_keyspace", "sensor_readings", "Create", now, f'{{"sensor_id":"{sensor}","timestamp":"{now}"}}', None, after, None, str(n), n)
+
+
+def _connect(failures: list[int], category: str) -> None:
+    """Connects by the policy of five attempts; the first ``failures`` attempts fail, as a server that starts up would."""
+
+    def attempt() -> None:
+        if failures[0] > 0:
+            failures[0] -= 1
+            raise SourceError(category, "the source is not ready")
+
+    retry_with_backoff(attempt)
+
+
 class GeneratorReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, row=_row, category: str = "Connection"):
         self.start, self.count, self.parts = start_after(options.get("offset")), int(options.get("count", 100)), int(options.get("partitions", 4))
+        self.row, self.category, self.failures = row, category, int(options.get("failures", 0))
 
     def partitions(self) -> list[InputPartition]:
         step = max(1, -(-self.count // self.parts))
         return [_Range(self.start + 1 + i, min(self.start + self.count, self.start + i + step)) for i in range(0, self.count, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from map(_row, range(partition.first, partition.last + 1))
+        _connect([self.failures], self.category)
+        yield from map(self.row, range(partition.first, partition.last + 1))
 
 
 class GeneratorStreamReader(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, row=_row):
+        self.row = row
         self.start, self.batch, self.limit = start_after(options.get("offset")), int(options.get("batch", 10)), int(options.get("count", 100))
 
     def initialOffset(self) -> dict:
@@ -117,10 +140,10 @@ class GeneratorStreamReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = min(start["n"] + self.batch, self.start + self.limit)
-        return map(_row, range(start["n"] + 1, end + 1)), {"n": end}
+        return map(self.row, range(start["n"] + 1, end + 1)), {"n": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return map(_row, range(start["n"] + 1, end["n"] + 1))
+        return map(self.row, range(start["n"] + 1, end["n"] + 1))
 
 
 class TransactionalSource(DataSource):
@@ -140,4 +163,29 @@ class TransactionalSource(DataSource):
         return GeneratorStreamReader(self.options)
 
 
-__all__ = ["COLUMNS", "SourceError", "TransactionalSource", "commit_log", "numbers", "resume_position", "retry_with_backoff", "start_after", "transactional"]
+class CommitLogSource(TransactionalSource):
+    """``spark.read.format("rillforge_sensors")`` and its stream, with the same options."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "rillforge_sensors"
+
+    def reader(self, schema) -> DataSourceReader:
+        return GeneratorReader(self.options, _reading, "DirectoryAccess")
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return GeneratorStreamReader(self.options, _reading)
+
+
+def register(spark: SparkSession) -> None:
+    for source in (TransactionalSource, CommitLogSource):
+        spark.dataSource.register(source)
+
+
+def resumed(spark: SparkSession, store, source: str, format: str, count: int) -> DataFrame:
+    """``count`` events of a generated source after the offset that ``store`` has of it, from the start if it has none."""
+    register(spark)
+    return spark.read.format(format).option("count", count).option("offset", store.get_offset(source) or "0").load()
+
+
+__all__ = ["COLUMNS", "CommitLogSource", "register", "resumed", "SourceError", "TransactionalSource", "commit_log", "numbers", "resume_position", "retry_with_backoff", "start_after", "transactional"]

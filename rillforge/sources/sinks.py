@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..envelope import COLUMNS, serialize
+from ..operators.stateless import should_forward
 
 
 class SinkError(Exception):
@@ -47,6 +48,16 @@ def dead_letters(failed: DataFrame, reason: Column, step: str, retries: int = 1,
     )
 
 
+def forward_to_peers(df: DataFrame, peers, path: str) -> list[str]:
+    """Forward to each active peer but the local cluster; what came from a peer doesn't go back to it. Gives the folders."""
+    out = []
+    for node in peers.nodes:
+        if node["is_active"] and node["cluster_id"] != peers.local:
+            out.append(f"{path}/{node['cluster_id']}")
+            forward(df.where(should_forward(node["cluster_id"])), node["cluster_id"], out[-1])
+    return out
+
+
 def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: every sink in turn; an error fails the batch, so offsets don't run ahead."""
 

@@ -39,7 +39,10 @@ def check_compatibility(old: dict, new: dict, mode: SchemaCompatibility) -> str
 
 
 class StateStore:
-    """Key-value state: an append-only log of (kind, name, version, value); the last version counts."""
+    """Key-value state: an append-only log of (kind, name, version, value); the last version counts.
+
+    One writer at a time, as the leader is; of two that meet, the greater value of a version counts.
+    """
 
     SCHEMA = "kind string, name string, version long, value string"
 
@@ -49,11 +52,13 @@ class StateStore:
     def table(self) -> DataFrame:
         try:
             return self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # any other failure is no empty state
+                raise
             return self.spark.createDataFrame([], self.SCHEMA)
 
     def latest(self) -> DataFrame:
-        return self.table().groupBy("kind", "name").agg(F.max("version").alias("version"), F.max_by("value", "version").alias("value"))
+        return self.table().groupBy("kind", "name").agg(F.max("version").alias("version"), F.max(F.struct("version", "value"))["value"].alias("value"))
 
     def _put(self, kind: str, name: str, value: str) -> int:
         last = self.table().where((F.col("kind") == kind) & (F.col("name") == name)).agg(F.max("version")).first()[0]

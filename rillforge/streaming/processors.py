@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..envelope import COLUMNS, MUTATIONS, SCHEMA
 from ..operators import stateless
+from ..sources import sinks
+from ..state import StateStore, latest_offsets
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -129,6 +132,60 @@ def transactional(stream: DataFrame, schema: dict | None, partitions: int = 4, c
 
     Without a capacity ids are remembered for good, which ``dropDuplicates`` spreads over tasks.
     """
-    unique = dedup(stream, capacity) if capacity is not None else stream.select(*COLUMNS).dropDuplicates(["id"])
-    valid = stateless.validate(unique, schema).where(F.col("error_reason").isNull()).drop("error_reason")
+    valid = checked(stream, schema, capacity).where(F.col("error_reason").isNull()).drop("error_reason")
     return stateless.route(buffer_transactions(stateless.drop_markers(valid)), partitions)
+
+
+def checked(stream: DataFrame, schema: dict | None, capacity: int | None) -> DataFrame:
+    """Events without repeats, with error_reason."""
+    unique = dedup(stream, capacity) if capacity is not None else stream.select(*COLUMNS).dropDuplicates(["id"])
+    return stateless.validate(unique, schema)
+
+
+@dataclass
+class Running:
+    """The two queries of a composed stream: events, and dead letters of the validation."""
+
+    events: StreamingQuery
+    letters: StreamingQuery
+
+    def wait(self, seconds: float | None = None) -> None:
+        for q in (self.events, self.letters):
+            q.awaitTermination(seconds)
+
+    def stop(self) -> None:
+        """A graceful stop: what has arrived is processed first, so that no batch is cut off."""
+        for q in (self.events, self.letters):
+            if q.isActive:
+                q.processAllAvailable()
+                q.stop()
+
+
+def start(
+    stream: DataFrame, config, path: str, store: StateStore | None = None, is_leader: Callable[[], bool] = lambda: True, sinks_: tuple = (), available_now: bool = True,
+) -> Running | None:
+    """Run the transactional pipeline: events, dead letters and checkpoints go to folders of ``path``, offsets to ``store``.
+
+    Only a leader starts queries (None otherwise): a standby reads nothing, so it drops nothing. A batch is
+    written by its number, so one that runs again after a failure replaces itself; a sink that fails fails the
+    batch, and the offset of a source is saved after all sinks have the batch.
+    """
+    if not is_leader():
+        return None
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        done, failed = stateless.split(config.transform(batch))
+        sinks.batch_files(f"{path}/letters_transform")(sinks.dead_letters(failed, F.col("error_reason"), "Transform"), batch_id)
+        routed = stateless.route(done, config.partitions, config.strategy)
+        sinks.fan_out(sinks.batch_files(f"{path}/events"), *sinks_)(routed, batch_id)
+        if store is not None:
+            for row in latest_offsets(routed).collect():  # one row for each source
+                store.save_offset(row[0], row[1])
+
+    def bury(batch: DataFrame, batch_id: int) -> None:
+        sinks.batch_files(f"{path}/letters_validation")(sinks.dead_letters(batch, F.col("error_reason"), "SchemaValidation"), batch_id)
+
+    told = checked(stream, config.schema, config.capacity)
+    valid = stateless.drop_markers(told.where("error_reason is null").drop("error_reason"), config.marker)
+    run = lambda df, write, name: (lambda w: w.trigger(availableNow=True) if available_now else w)(df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint_{name}")).start()
+    return Running(run(buffer_transactions(valid), emit, "events"), run(told.where("error_reason is not null"), bury, "letters"))

@@ -90,7 +90,9 @@ def test_masking_and_keys(spark):
     keys = security.KeyStore(b"k1")
     df = spark.createDataFrame([('{"id":1,"ssn":"1","email":"alice@example.com","n":null}',), ("not json",), (None,)], "j string")
     rules = {"ssn": security.MaskingRule.REDACT, "email": security.MaskingRule.HASH, "id": security.MaskingRule.ENCRYPT}
-    rows = [r[0] for r in df.select(security.mask(F.col("j"), rules, keys)).collect()]
+    masked = security.with_keys(df, keys).select(security.mask(F.col("j"), rules, keys))
+    rows = [r[0] for r in masked.collect()]
+    assert security.hashlib.sha256(b"k1").hexdigest() not in masked._jdf.queryExecution().toString().lower()
     assert '"email":"bb3a8e7ca00ab25c"' in rows[0] and '"ssn":"[REDACTED]"' in rows[0] and '"id":"ENC:v1:' in rows[0] and rows[1:] == ["not json", None]
     assert keys.rotate(b"k2") == 2 and keys.by_version(1) == b"k1"
     with pytest.raises(ValueError):
@@ -179,3 +181,49 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
 def test_fifo_query_has_repeats_to_drop(spark):
     rows, kept = queries.fifo_rows(spark, SF), queries.QUERIES["dedup_fifo_mixed"](spark, SF)
     assert kept.count() > rows.select("id").distinct().count() and kept.count() < rows.count()
+
+
+def test_one_long_transaction(spark):
+    rows = spark.range(200_000).selectExpr("concat('e', id) id", "'db' source_database", "if(id = 199999, 'Commit', 'Update') operation", "'t' transaction_id", "id seq")
+    assert ordered.tx_committed(rows).count() == 199_999
+
+
+def test_chunks_run_again_take_up_what_failed(spark):
+    def fails(chunk_id, low, high):
+        if chunk_id == 1:
+            raise ValueError("once")
+        return high - low + 1
+
+    first = ordered.run_chunks(ordered.plan_chunks(spark, 10, 4), fails)
+    assert sorted((r.chunk_id, r.status) for r in first.collect()) == [(0, "Completed"), (1, "Failed"), (2, "Completed")] and ordered.progress(first).first()[0] == "2/3"
+    again = ordered.run_chunks(spark.createDataFrame(first.collect(), first.schema), lambda i, low, high: high - low + 1)
+    assert ordered.progress(again).first()[0] == "3/3" and sum(r.n_rows for r in again.collect()) == 10
+    with pytest.raises(ValueError):
+        ordered.run_chunks(first, fails, 0)
+
+
+def test_a_composed_stream_goes_on_after_a_stop(spark, tmp_path):
+    source, out, store = str(tmp_path / "in"), str(tmp_path / "out"), state.StateStore(spark, str(tmp_path / "state"))
+    rows = [event(i, "Commit" if i % 4 == 3 else "Update", f"tx-{i // 8 * 2 + i % 2}", after='{"v":1}' if i != 5 else "[]") for i in range(32)]
+    config = pipelines.Config({"fields": {"v": "integer"}})
+    for part in (rows[:13], rows[13:]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(source)
+        running = processors.start(spark.readStream.schema(SCHEMA).parquet(source), config, out, store, available_now=False)
+        running.stop()
+    valid = [r for r in rows if r[10] != 5]
+    want = sorted(r.seq for r in ordered.tx_committed(frame(spark, valid)).collect())
+    assert sorted(r.seq for r in spark.read.parquet(f"{out}/events").collect()) == want
+    assert [r.failed_event.seq for r in spark.read.parquet(f"{out}/letters_validation").collect()] == [5] and store.get_offset("db") is not None
+
+
+def test_a_reader_that_cannot_connect_fails(spark):
+    generators.register(spark)
+    with pytest.raises(Exception, match="DirectoryAccess"):
+        spark.read.format("rillforge_sensors").option("failures", 9).load().collect()
+
+
+def test_state_that_cannot_be_read_is_no_empty_state(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        state.StateStore(spark, str(tmp_path / "s")).get_offset("x")
