@@ -7,6 +7,10 @@ chunks' digests and stored lengths, followed by the chunks. Reading back joins e
 chunk store, expands the chunks in order, checks each against its digest and the whole against
 the payload's own digest, and computes features from the bytes so read.
 
+Chunks are compressed with a dictionary learned from a sample of texts. It is a chunk of the store itself,
+and every stored form names it by its digest, so media can be read with the store alone. Tables with other
+texts have another dictionary, hence other stored forms of an equal text.
+
 Exact copies share one list, so a payload is read back once however many rows have it. Chunk bytes
 are moved twice, compressed: to the store by digest and to the reader by payload.
 
@@ -26,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Query, table, uniform
+from .common import Query, small_batches, table, uniform
 
 UNIT = 576
 PAD = 255
@@ -35,7 +39,7 @@ WINDOW = 32
 LEVEL = 9
 #: Documents and characters of each that the compression dictionary may learn from.
 DICTIONARY_DOCUMENTS, DICTIONARY_CHARS, DICTIONARY_BYTES = 600, 20_000, 1 << 16
-MAGIC = b"CDCM1"
+MAGIC = b"CDCM2"
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4).digest() for i in range(256)), np.uint32)
 
 
@@ -92,7 +96,7 @@ def learn_dictionary(docs: DataFrame) -> bytes | None:
         return None
     rows = (
         docs.where(F.col("text").isNotNull() & (F.length("text") <= DICTIONARY_CHARS) & (uniform(F.lit("zstd"), F.col("doc_id"), F.col("text")) < DICTIONARY_DOCUMENTS / n))
-        .select("text").limit(3 * DICTIONARY_DOCUMENTS).collect()
+        .select("text").distinct().collect()
     )
     samples = sorted({chunk for r in rows for chunk in chunks_of(payload_of(r.text))})
     if len(samples) < 64:
@@ -145,12 +149,14 @@ def _chunks(words: bytes | None):
 def _reader(words: bytes | None):
     """Rows (key, seq, digest, stored) sorted by key and seq to one row for each key."""
 
+    named = hashlib.sha256(words).digest() if words else bytes(32)
+
     def finish(key: bytes, digests: list[bytes], stored: list[bytes], expand) -> tuple:
         parts = [expand(x) for x in stored]
         payload = b"".join(parts)
         whole = hashlib.sha256(payload)
         ok = whole.digest() == key and all(hashlib.sha256(x).digest() == d for x, d in zip(parts, digests, strict=True))
-        head = MAGIC + len(stored).to_bytes(4, "big") + b"".join(d + len(x).to_bytes(4, "big") for d, x in zip(digests, stored, strict=True))
+        head = MAGIC + named + len(stored).to_bytes(4, "big") + b"".join(d + len(x).to_bytes(4, "big") for d, x in zip(digests, stored, strict=True))
         media = hashlib.sha256(head)
         for x in stored:
             media.update(x)
@@ -194,8 +200,11 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
 
 
 def chunk_store(docs: DataFrame, words: bytes | None = None) -> DataFrame:
-    """digest, stored: one compressed copy of each distinct chunk."""
-    return docs.select("text").mapInArrow(_chunks(words), "digest binary, stored binary").dropDuplicates(["digest"])
+    """digest, stored: one compressed copy of each distinct chunk, and the dictionary as it is."""
+    found = docs.select("text").mapInArrow(_chunks(words), "digest binary, stored binary").dropDuplicates(["digest"])
+    if not words:
+        return found
+    return found.unionByName(docs.sparkSession.createDataFrame([(hashlib.sha256(words).digest(), words)], "digest binary, stored binary"))
 
 
 def read_back(lists: DataFrame, store: DataFrame, words: bytes | None = None) -> DataFrame:
@@ -206,6 +215,7 @@ def read_back(lists: DataFrame, store: DataFrame, words: bytes | None = None) ->
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     words = learn_dictionary(docs)
     read = read_back(chunk_lists(docs), chunk_store(docs, words), words)
