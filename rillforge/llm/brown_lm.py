@@ -19,16 +19,18 @@ Tokens are words with A-Z lower-cased, and one end after each text. Training:
 P(word | class before) = P(class | class before) * P(word | class): transitions with Witten-Bell
 smoothing, emissions (c + 0.1) / (N_class + 0.1 * (V_class + 1)), which leaves mass for unseen words.
 
-Scoring deals the texts into blocks by hash; a block meets the counts and classes of its own distinct
+Scoring deals the texts into blocks by their rows, repeated rows like others; a block meets the counts and classes of its own distinct
 words by a join, so no task needs the vocabulary as a whole and nothing that grows is broadcast. It
 gives the class of each token, from which step 5 and then the scores are reckoned row by row.
 
 Defined results: null texts are empty, that is one end; a null doc_id counts as held out; repeated
 rows count and score each; without training texts every count is 0. Extra columns are ignored.
+``docs`` must be a table or other plan that gives the same rows in the same order, else it is checkpointed.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -41,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Query, checkpointed, held_out, table
+from .common import Query, checkpointed, give_back, held_out, numbered, small_batches, table
 
 END = b""
 FOLDS = 10
@@ -50,8 +52,10 @@ CORE = 2048
 SIGNATURES = 512
 ADDED = 0.1
 ROUNDS = 6
-#: Tokens that one block of scoring aims at.
-BLOCK_TOKENS = 1_000_000
+#: Tokens that one block of scoring aims at, and bytes of a token and the space after it in ordinary text.
+BLOCK_TOKENS, TOKEN_BYTES = 1_000_000, 6.5
+#: Characters of text that are counted as one, whatever the size of Arrow batches.
+COUNTED_CHARS = 24 << 20
 MARKS = ".,;:!?\"'()[]{}#$%&*|<>-_/\\"
 
 
@@ -66,11 +70,26 @@ def signature(word: bytes) -> int:
     return zlib.crc32(f"{bare[-2:]}|{text[len(bare):][:1]}".encode()) % SIGNATURES
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], chars: int = COUNTED_CHARS) -> Iterator[list[str | None]]:
+    """Texts of several batches together, so that a word is told once for many texts."""
+    held, size = [], 0
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        held += texts
+        size += sum(len(x) for x in texts if x)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+    give_back()
+
+
 def _count_frequent(share: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for texts in _gathered(batches):
             counts: Counter[bytes] = Counter()
-            for text in batch.column(0).to_pylist():
+            for text in texts:
                 counts.update(words_of(text))
                 counts[END] += 1
             total = counts.total()
@@ -139,8 +158,8 @@ class Units:
 def _count_bigrams(units: Units):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = units.size
-        for batch in batches:
-            distinct, flat, starts = units.sequence(batch.column(0).to_pylist())
+        for texts in _gathered(batches):
+            distinct, flat, starts = units.sequence(texts)
             if not len(flat):
                 continue
             unit = units.of_all(distinct)[flat]
@@ -278,8 +297,8 @@ def _neighbours(shared) -> object:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         units, cls = model.units, model.cls
-        for batch in batches:
-            distinct, flat, _ = units.sequence(batch.column(0).to_pylist())
+        for texts in _gathered(batches):
+            distinct, flat, _ = units.sequence(texts)
             unit = units.of_all(distinct)
             c = cls[unit][flat].astype(np.uint8)
             rare = unit >= len(units.core)
@@ -350,14 +369,16 @@ def _bigram_codes(column: pa.Array, end: int, classes: int) -> tuple[np.ndarray,
 
 def score_documents(docs: DataFrame, classes: int = CLASSES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
+    docs = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
     learn = docs.where(~held_out(F.col("doc_id"), FOLDS))
     model = fit(learn, classes)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CORE words and a few tables of fixed size
     words = checkpointed(assign(learn, shared))
-    blocks = max(1, -(-model.n_tokens // block_tokens))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(n_bytes / (TOKEN_BYTES * block_tokens)))
     out = held_out(F.col("doc_id"), FOLDS)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", out.alias("held_out"), "text").repartition("block")
+    dealt = docs.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "doc_id", out.alias("held_out"), "text").repartition("block")
 
     def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, seen = shared.value.units.core, {}
