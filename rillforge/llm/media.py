@@ -201,10 +201,10 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
 
 def chunk_store(docs: DataFrame, words: bytes | None = None) -> DataFrame:
     """digest, stored: one compressed copy of each distinct chunk, and the dictionary as it is."""
-    found = docs.select("text").mapInArrow(_chunks(words), "digest binary, stored binary").dropDuplicates(["digest"])
-    if not words:
-        return found
-    return found.unionByName(docs.sparkSession.createDataFrame([(hashlib.sha256(words).digest(), words)], "digest binary, stored binary"))
+    found = docs.select("text").mapInArrow(_chunks(words), "digest binary, stored binary")
+    if words:  # before the shuffle by digest, which a union above it would have to be repeated for
+        found = found.unionByName(docs.sparkSession.createDataFrame([(hashlib.sha256(words).digest(), words)], "digest binary, stored binary"))
+    return found.dropDuplicates(["digest"])
 
 
 def read_back(lists: DataFrame, store: DataFrame, words: bytes | None = None) -> DataFrame:
