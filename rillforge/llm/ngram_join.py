@@ -450,3 +450,40 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"op5_ngram_join": op5_ngram_join}
+
+#: All pairs by an inverted index of shingles, classes by transitive closure.
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_join": r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM docs)
+),
+windows AS (
+  SELECT r, i, lead(word, 4) OVER w AS last, concat_ws(' ', word, lead(word) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w) AS shingle
+  FROM words WINDOW w AS (PARTITION BY r ORDER BY i)
+),
+shingled AS (SELECT r, list_sort(list(DISTINCT shingle)) AS shingles FROM windows WHERE last IS NOT NULL OR i = 1 GROUP BY r),
+sets AS (
+  SELECT row_number() OVER () AS s, shingles, len(shingles) AS size, count(*) AS copies, min(doc_id) AS least, list(r) AS members
+  FROM shingled JOIN docs USING (r) GROUP BY shingles
+),
+tokens AS (SELECT s, size, unnest(shingles) AS shingle FROM sets),
+edges AS (
+  SELECT a.s AS u, b.s AS v FROM tokens a JOIN tokens b ON a.shingle = b.shingle AND a.s <> b.s
+  GROUP BY a.s, b.s, a.size, b.size HAVING 10 * count(*) >= 8 * (a.size + b.size - count(*))
+),
+reached AS (
+  SELECT s, s AS m FROM sets
+  UNION
+  SELECT reached.s, edges.v FROM reached JOIN edges ON edges.u = reached.m
+),
+classes AS (SELECT reached.s, min(least) AS class_id FROM reached JOIN sets ON sets.s = reached.m GROUP BY reached.s),
+links AS (SELECT u AS s, CAST(sum(copies) AS BIGINT) AS n FROM edges JOIN sets ON sets.s = edges.v GROUP BY u),
+found AS (
+  SELECT unnest(members) AS r, class_id, copies - 1 + coalesce(n, 0) AS n_links FROM sets JOIN classes USING (s) LEFT JOIN links USING (s)
+)
+SELECT doc_id, CASE WHEN found.r IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links
+FROM docs LEFT JOIN found USING (r)
+"""
+}

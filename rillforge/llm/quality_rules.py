@@ -178,3 +178,59 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"op2_quality_rules": op2_quality_rules}
+
+_SPACE = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]"
+_MARK = r"[!-/:-@\[-`{-~]"
+_MENU = rf"(?i)^{_SPACE}*(?:{'|'.join(MENU)})(?:[\x20\x09-\x0D|/>›»•·-]+(?:{'|'.join(MENU)}))*{_SPACE}*$"
+_TEMPLATE = "|".join(BOILERPLATE) + r"|[{}].*[;=(]|function\("
+
+
+def _sql(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The rules once more, set by set: words, windows and lines as rows of their own.
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT r, regexp_extract_all(t, {_sql(_WORD + "+")}) AS ws FROM docs)
+),
+per_word AS (SELECT r, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM words GROUP BY r),
+windows AS (
+  SELECT r, i, word AS a, lead(word) OVER (PARTITION BY r ORDER BY i) AS b, lead(word, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM words
+),
+repeated AS (SELECT r, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+per_window AS (
+  SELECT r, count(DISTINCT place) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM repeated) GROUP BY r
+),
+lines AS (SELECT r, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, {_sql(_WORD)})),
+judged AS (
+  SELECT r, line, len(regexp_extract_all(line, {_sql(_WORD + "+")})) AS n,
+    len(regexp_extract_all(line, {_sql(_MARK)})) AS marks,
+    len(regexp_extract_all(line, '[|›»•·]')) AS separators
+  FROM lines
+),
+per_line AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines,
+    CAST(sum(CASE WHEN (n < {MIN_LINE_WORDS} AND NOT regexp_matches(line, {_sql(CLOSING)}))
+        OR marks > CAST({MAX_MARK_SHARE} AS DOUBLE) * length(line)
+        OR (separators >= 3 AND separators * 4 >= n)
+        OR regexp_matches(line, {_sql(_MENU)})
+        OR regexp_matches(lower(line), {_sql(_TEMPLATE)})
+      THEN n ELSE 0 END) AS BIGINT) AS n_lost_words
+  FROM judged GROUP BY r
+),
+counted AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+    len(regexp_extract_all(t, {_sql(f"[{SYMBOLS}]")})) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost_words, 0) AS n_lost_words
+  FROM docs LEFT JOIN per_word USING (r) LEFT JOIN per_window USING (r) LEFT JOIN per_line USING (r)
+),
+based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND n_lost_words <= CAST({MAX_LOST_SHARE} AS DOUBLE) * n_words AS kept FROM based
+"""
+}

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,18 @@ def test_join_equals_brute_force(spark, docs):
         assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(i), n) for (i, _), n in zip(found, links, strict=True))
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_equal_their_sql(spark, docs, empty, name):
+    for folder in (docs, empty):
+        with duckdb.connect() as db:
+            db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+            found = db.sql(registry.oracle_sql()[name])
+            columns, expected = found.columns, found.fetchall()
+        got = registry.queries()[name](spark, folder)
+        assert sorted(got.columns) == sorted(columns)
+        assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, expected))
+
+
 def test_components_in_rounds(spark):
     edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, 3), (100, 200)]
     got = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(8), edges_per_task=5)
