@@ -12,8 +12,14 @@
    runs follows from the target recall.
    Buckets compare sketches (one-permutation minhash) with a margin and give spanning edges only, so
    their components are candidate groups: a pair within the limit is in one group, but for the recall.
-3. Exact check: within each candidate group all pairs are compared by their whole sets, large groups
-   in pairs of blocks. This gives each set's links, copies counted, and the exact classes.
+3. Exact check. A group of one block compares all pairs by their whole sets. A larger one has a *core*,
+   the shingles that more than half of its sets have, and each set is kept as its difference from the
+   core. With a the core's shingles that a set lacks, b those that it adds, and c what the differences of
+   two sets share, the sets are within the limit t exactly if the sum of their a + t b is at most
+   (1 - t) |core| + (1 + t) c. So sets whose a + t b is at most half of (1 - t) |core| are *settled*: all
+   are within the limit of each other, and their links are one sum. Pairs with a set that is not are
+   compared by their differences, in pairs of blocks. This gives each set's links, copies counted, and
+   the exact classes.
 
 No step emits the pairs of a group, and none collects groups, edges or labels on the driver.
 
@@ -284,14 +290,18 @@ def _deeper(level: int, shared: float, threshold: float):
     return paths
 
 
-def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
-    """Deal the rows of each group into ``blocks`` blocks and each block to the pairs of blocks it is part of.
+def _block_pairs(rows: DataFrame, blocks: Column, settled: Column | None = None, settled_blocks: Column | None = None) -> DataFrame:
+    """Deal the rows of each group into blocks and each block to the pairs of blocks it is part of.
 
     Adds pair_a, pair_b (block numbers, a <= b) and side (0: block a, 1: block b). A group of one
-    block has the one pair (0, 0).
+    block has the one pair (0, 0). Settled rows have the first ``settled_blocks`` blocks, the others
+    ``blocks`` more; pairs of two blocks of settled rows are left out.
     """
-    dealt = rows.withColumn("__k", blocks.cast("int")).withColumn("__b", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("__k").cast("long")).cast("int"))
-    spread = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    low, lows = (F.lit(False), F.lit(0)) if settled is None else (settled, settled_blocks)
+    of = F.greatest(F.when(F.col("__low"), F.col("__s")).otherwise(F.col("__k")), F.lit(1))
+    dealt = rows.withColumns({"__k": blocks.cast("int"), "__s": lows.cast("int"), "__low": low}).where("__k > 0")
+    dealt = dealt.withColumn("__b", F.when(F.col("__low"), 0).otherwise(F.col("__s")) + F.pmod(F.xxhash64("set_id", F.lit("block")), of.cast("long")).cast("int"))
+    spread = dealt.withColumn("__o", F.explode(F.sequence(F.when(F.col("__low"), F.col("__s")).otherwise(0), F.col("__s") + F.col("__k") - 1)))
     return spread.select(
         *rows.columns, F.least("__b", "__o").alias("pair_a"), F.greatest("__b", "__o").alias("pair_b"), F.when(F.col("__b") <= F.col("__o"), 0).otherwise(1).alias("side")
     )
@@ -341,6 +351,8 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None, width:
     """Sizes of the intersections of all sets of a with all of b, or of a with itself."""
     both = a if b is None else a + b
     flat = np.concatenate(both)
+    if not len(flat):
+        return np.zeros((len(a), len(both) - len(a) if b is not None else len(a)), np.float32)
     owner = np.repeat(np.arange(len(both), dtype=np.int32), [len(x) for x in both])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -363,8 +375,92 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None, width:
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
 
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (component, n, hashes): how many of the batch's sets of a group have each shingle."""
+    for batch in batches:
+        component, n = batch.column("component").to_numpy(), batch.column("n").to_numpy()
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("hashes").to_pylist()]
+        for c in np.unique(component):
+            own = np.flatnonzero(component == c)
+            tokens, counts = np.unique(np.concatenate([sets[i] for i in own]), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(tokens), c)), pa.array(np.full(len(tokens), n[own[0]])), pa.array(tokens), pa.array(counts.astype(np.int64))], names=["component", "n", "token", "sets"]
+            )
+
+
+def settles(lacks: np.ndarray, adds: np.ndarray, core: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Whether sets that differ from the core so much are within the limit of all others of the kind."""
+    return 2 * (lacks + threshold * adds) <= (1 - threshold) * core + 1e-9
+
+
+_DIFFERENCES = pa.schema([
+    ("component", pa.int64()), ("blocks", pa.int64()), ("set_id", pa.int64()), ("copies", pa.int64()), ("core", pa.int64()), ("lacks", pa.int64()), ("settled", pa.bool_()), ("hashes", pa.binary()),
+])
+
+
+def _differences(threshold: float) -> Callable:
+    """Rows (component, blocks, set_id, copies, hashes, tokens): sets as differences from their group's core, the tokens."""
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, core = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            components, tokens = batch.column("component").to_pylist(), batch.column("tokens")
+            sizes, lacks, hashes = [], [], []
+            for i, (component, x) in enumerate(zip(components, batch.column("hashes").to_pylist(), strict=True)):
+                if component != of:
+                    of, core = component, np.zeros(0, np.uint64)
+                    if tokens[i].is_valid:
+                        core = np.sort(tokens[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                own = np.frombuffer(x, np.uint64)
+                hashes.append(np.setxor1d(core, own, assume_unique=True))
+                sizes.append(len(core))
+                lacks.append((len(hashes[-1]) + len(core) - len(own)) // 2)
+            a, size = np.array(lacks, np.int64), np.array(sizes, np.int64)
+            settled = settles(a, np.array([len(h) for h in hashes], np.int64) - a, size, threshold)
+            kept = [batch.column(c).cast(pa.int64()) for c in ("component", "blocks", "set_id", "copies")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(size), pa.array(a), pa.array(settled, pa.bool_()), pa.array([h.tobytes() for h in hashes], pa.binary())], schema=_DIFFERENCES)
+
+    return differences
+
+
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with what ``groups`` (component, blocks, ...) has of their group; a group's rows meet it in as many parts as it has blocks."""
+    parts = groups.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).drop("blocks")
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64("set_id", F.lit("part")), F.col("blocks").cast("long")).cast("int"))
+    return dealt.join(parts, ["component", "__part"]).drop("__part")
+
+
+def _differing(large: DataFrame, threshold: float, block: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Of groups of several blocks (component, n, blocks, set_id, copies, hashes): pairs of blocks to compare, and the links of settled sets."""
+    counts = large.select("component", "n", "hashes").mapInArrow(_token_counts, "component long, n long, token long, sets long").groupBy("component", "n", "token").agg(F.sum("sets").alias("sets"))
+    # more than half of the sets have each of them, so a core is smaller than two sets of mean size
+    cores = counts.where(2 * F.col("sets") > F.col("n")).groupBy("component").agg(F.collect_list("token").alias("tokens"))
+    groups = large.groupBy("component").agg(F.max("blocks").alias("blocks")).join(cores, "component", "left")
+    rows = _with_group(large.select("component", "blocks", "set_id", "copies", "hashes"), groups).select("component", "blocks", "set_id", "copies", "hashes", "tokens")
+    rows = checkpointed(rows.mapInArrow(_differences(threshold), "component long, blocks long, set_id long, copies long, core long, lacks long, settled boolean, hashes binary"))
+    shingles_of = F.octet_length("hashes") / 8
+
+    def blocks_of(which: Column) -> Column:
+        n, size = F.sum(F.when(which, 1).otherwise(0)), F.sum(F.when(which, shingles_of).otherwise(0))
+        return F.greatest(F.ceil(n / F.lit(block)), F.ceil(size / F.lit(block_shingles))).cast("int")
+
+    settled = F.col("settled")
+    of_group = rows.groupBy("component").agg(
+        F.max("blocks").alias("blocks"), blocks_of(settled).alias("low"), blocks_of(~settled).alias("high"), F.sum(F.when(settled, F.col("copies"))).alias("all_copies"), F.min(F.when(settled, F.col("set_id"))).alias("first")
+    )
+    known = _with_group(rows, of_group)
+    pairs = _block_pairs(known.select("component", "set_id", "copies", "core", "lacks", "hashes", "settled", "low", "high"), F.col("high"), settled, F.col("low"))
+    alike = known.where(settled).select(F.col("set_id").alias("u"), F.explode(F.array(
+        F.struct(F.lit(None).cast("long").alias("v"), (F.col("all_copies") - F.col("copies")).alias("links")), F.struct(F.col("first").alias("v"), F.lit(0).cast("long").alias("links"))
+    )).alias("x")).select("u", "x.v", "x.links")
+    return pairs.drop("settled", "low", "high"), alike
+
+
 def _exact(threshold: float) -> Callable:
-    """Rows (component, pair_a, pair_b, side, set_id, copies, hashes): links of each set, and spanning edges of exact links."""
+    """Rows (component, pair_a, pair_b, side, set_id, copies, core, lacks, hashes): links of each set, and spanning edges of exact links.
+
+    Sets are differences from a core of ``core`` shingles, of which each lacks ``lacks``; whole sets have a core of none.
+    """
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("component", "pair_a", "pair_b")):
@@ -376,8 +472,10 @@ def _exact(threshold: float) -> Callable:
             right = left if own else np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
+            core, lacks = group["core"][0].as_py(), np.array(group["lacks"].to_pylist(), np.float64)
             common = intersections([sets[i] for i in left], None if own else [sets[i] for i in right]).astype(np.float64)
-            size = np.array([len(x) for x in sets], np.float64)
+            common += core - lacks[left][:, None] - lacks[right][None]
+            size = core + np.array([len(x) for x in sets], np.float64) - 2 * lacks
             near = common >= threshold * (size[left][:, None] + size[right][None] - common) - 1e-9
             if own:
                 np.fill_diagonal(near, False)
@@ -429,12 +527,21 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     members = groups.join(counted.select("set_id", "copies", "size"), "set_id")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     # the hashes, which are heavy, join last and so are moved once before they are dealt out
-    members = checkpointed(members.join(sizes, "component"))
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("shingles") / F.lit(block_shingles)))
-    grouped = hashes.join(members.withColumn("blocks", blocks).select("component", "blocks", "set_id", "copies"), "set_id")
+    members = checkpointed(members.join(sizes, "component").withColumn("blocks", blocks).select("component", "n", "blocks", "set_id", "copies"))
+    grouped = hashes.join(members, "set_id")
+    alike = None
+    if members.where("blocks > 1").isEmpty():
+        whole, pairs = grouped, None
+    else:
+        grouped = checkpointed(grouped)
+        whole = grouped.where("blocks = 1")
+        pairs, alike = _differing(grouped.where("blocks > 1"), threshold, block, block_shingles)
+    none = F.lit(0).cast("long")
+    whole = _block_pairs(whole.select("component", "set_id", "copies", none.alias("core"), none.alias("lacks"), "hashes"), F.lit(1))
     keys = ("component", "pair_a", "pair_b")
-    pairs = _block_pairs(grouped.select("component", "blocks", "set_id", "copies", "hashes"), F.col("blocks"))
-    links = checkpointed(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_exact(threshold), "u long, v long, links long"))
+    links = (whole if pairs is None else whole.unionByName(pairs)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_exact(threshold), "u long, v long, links long")
+    links = checkpointed(links if alike is None else links.unionByName(alike))
     n_links = links.where("v is null").groupBy(F.col("u").alias("set_id")).agg(F.sum("links").alias("links"))
     classes = connected_components(links.where("v is not null").select("u", "v")).withColumnsRenamed({"node": "set_id"})
     named = counted.join(classes, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

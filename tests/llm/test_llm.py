@@ -116,6 +116,28 @@ def test_join_equals_brute_force(spark, docs):
         assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(i), n) for (i, _), n in zip(found, links, strict=True))
 
 
+def test_join_of_large_groups_by_their_core(spark):
+    rng = random.Random(5)
+    texts = []
+    for base in ([f"a{i}" for i in range(150)], [f"b{i}" for i in range(400)]):
+        for edits in [0, 0, 1, 1, 1, 2, 2, 2, 2, 3, 3, 4, 5, 7, 9] * 4:
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = f"z{rng.randrange(40)}"
+            texts.append(" ".join(words[: len(words) - rng.choice((0, 0, 0, 12))]))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    links = [sum(row) - 1 for row in near]
+    assert len(set(links)) > 10  # some are within the limit of all in their group, some of a part, some of few
+    least = list(range(len(sets)))
+    for _ in sets:
+        least = [min(x for x, linked in zip(least, row, strict=True) if linked) for row in near]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, shingles in ((512, 1_000_000), (8, 1_000_000), (512, 2000), (1, 1_000_000)):
+        got = sorted(map(tuple, ngram_join.join_documents(docs, block=block, block_shingles=shingles).select("doc_id", "class_id", "n_links").collect()))
+        assert got == [(i, least[i], n) for i, n in enumerate(links)]
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_equal_their_sql(spark, docs, empty, name):
     for folder in (docs, empty):
