@@ -12,7 +12,8 @@ and every stored form names it by its digest, so media can be read with the stor
 texts have another dictionary, hence other stored forms of an equal text.
 
 Exact copies share one list, so a payload is read back once however many rows have it. Chunk bytes
-are moved twice, compressed: to the store by digest and to the reader by payload.
+are moved twice, compressed: to the store by digest and to the reader by payload. A chunk that very
+many lists share is *common*: the lists meet it in ``PARTS`` parts, each with a copy of it, not in one task.
 
 Defined results: null text is the empty payload before padding; repeated rows give repeated
 results; an empty table gives no rows. Extra columns are ignored.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ LEVEL = 9
 #: Documents and characters of each that the compression dictionary may learn from.
 DICTIONARY_DOCUMENTS, DICTIONARY_CHARS, DICTIONARY_BYTES = 600, 20_000, 1 << 16
 MAGIC = b"CDCM2"
+#: Lists of one task that may hold a chunk before it counts as common there, and the parts that common chunks are joined in.
+COMMON, PARTS = 64, 256
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4).digest() for i in range(256)), np.uint32)
 
 
@@ -107,7 +111,7 @@ def learn_dictionary(docs: DataFrame) -> bytes | None:
         return None
 
 
-_REFS = pa.schema([("key", pa.binary()), ("seq", pa.int32()), ("n_chunks", pa.int32()), ("digest", pa.binary())])
+_REFS = pa.schema([("key", pa.binary()), ("seq", pa.int32()), ("n_chunks", pa.int32()), ("digest", pa.binary()), ("common", pa.bool_())])
 _STORE = pa.schema([("digest", pa.binary()), ("stored", pa.binary())])
 _READ = pa.schema([
     ("key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
@@ -115,18 +119,25 @@ _READ = pa.schema([
 ])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for batch in batches:
-        rows: list[tuple] = []
-        for text in batch.column(0).to_pylist():
-            payload = payload_of(text)
-            key = hashlib.sha256(payload).digest()
-            if key not in seen:
-                seen.add(key)
-                parts = chunks_of(payload)
-                rows += [(key, i, len(parts), hashlib.sha256(x).digest()) for i, x in enumerate(parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _REFS, strict=True)], schema=_REFS)
+def _lists(common: int):
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        met: Counter[bytes] = Counter()
+        for batch in batches:
+            rows: list[tuple] = []
+            for text in batch.column(0).to_pylist():
+                payload = payload_of(text)
+                key = hashlib.sha256(payload).digest()
+                if key not in seen:
+                    seen.add(key)
+                    parts = chunks_of(payload)
+                    for i, x in enumerate(parts):
+                        digest = hashlib.sha256(x).digest()
+                        met[digest] += 1
+                        rows.append((key, i, len(parts), digest, met[digest] > common))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_REFS), _REFS, strict=True)], schema=_REFS)
+
+    return lists
 
 
 def _chunks(words: bytes | None):
@@ -194,9 +205,10 @@ def payload_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.concat(raw.cast("binary"), F.unhex(F.repeat(F.lit(f"{PAD:02X}"), pad))), 256))
 
 
-def chunk_lists(docs: DataFrame) -> DataFrame:
-    """key, seq, n_chunks, digest: the ordered chunk list of each distinct payload."""
-    return docs.select("text").mapInArrow(_lists, "key binary, seq int, n_chunks int, digest binary").dropDuplicates(["key", "seq"])
+def chunk_lists(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """key, seq, n_chunks, digest, common: the ordered chunk list of each distinct payload, and whether a task met the chunk in many before."""
+    found = docs.select("text").mapInArrow(_lists(common), "key binary, seq int, n_chunks int, digest binary, common boolean")
+    return found.groupBy("key", "seq").agg(F.min("n_chunks").alias("n_chunks"), F.min("digest").alias("digest"), F.max("common").alias("common"))
 
 
 def chunk_store(docs: DataFrame, words: bytes | None = None) -> DataFrame:
@@ -209,16 +221,20 @@ def chunk_store(docs: DataFrame, words: bytes | None = None) -> DataFrame:
 
 def read_back(lists: DataFrame, store: DataFrame, words: bytes | None = None) -> DataFrame:
     """Verified payload digests and features of each key, from the stored chunks alone."""
-    joined = lists.join(store, "digest").select("key", "seq", "digest", "stored")
+    rare = lists.where("not common").join(store, "digest").select("key", "seq", "digest", "stored")
+    # of key and digest: a part of the key alone lets the join's filter sink below the lists' exchange, which then isn't reused
+    shared = lists.where("common").select("key", "seq", "digest", F.pmod(F.xxhash64("key", "digest"), F.lit(PARTS)).alias("part"))
+    copies = store.join(shared.select("digest", "part").distinct(), "digest")
+    joined = rare.unionByName(shared.join(copies, ["digest", "part"]).select("key", "seq", "digest", "stored"))
     types = "key binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, n_chunks int, verified boolean"
     return joined.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(_reader(words), types)
 
 
-def store_and_read(docs: DataFrame) -> DataFrame:
+def store_and_read(docs: DataFrame, common: int = COMMON) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     words = learn_dictionary(docs)
-    read = read_back(chunk_lists(docs), chunk_store(docs, words), words)
+    read = read_back(chunk_lists(docs, common), chunk_store(docs, words), words)
     keys = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), payload_key(F.col("text")).alias("key"))
     hexed = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}
     return keys.join(read, "key", "left").drop("key").withColumns(hexed)

@@ -197,6 +197,18 @@ def test_media_round_trip(spark, docs):
         assert len(r.media_sha256) == 64 and r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-576:]) and b"".join(media.chunks_of(payload)) == payload
 
 
+def test_media_of_common_chunks(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(9000))
+    texts = [f"{word()} {passage} {word()}" for _ in range(40)] + [word() for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    lists = media.chunk_lists(docs, 3)
+    assert 0 < lists.where("common").select("digest").distinct().count() < lists.select("digest").distinct().count()
+    whole, parted, all_parted = (sorted(map(repr, media.store_and_read(docs, common).collect())) for common in (1000, 3, 0))
+    assert whole == parted == all_parted and len(whole) == 60 and "verified=False" not in "".join(whole)
+
+
 def test_brown_lm(spark, docs):
     data = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in spark.read.parquet(f"{docs}/documents.parquet").collect()]
     learn = [w for i, w in data if i is not None and zlib.crc32(str(i).encode()) % 10]
