@@ -36,6 +36,8 @@ from .common import Query, small_batches, table, uniform
 
 UNIT = 576
 PAD = 255
+#: Bytes at a payload's end that tail_crc32 is of.
+TAIL = 32
 MIN_CHUNK, AVERAGE_BITS, MAX_CHUNK = 2048, 13, 32768
 WINDOW = 32
 LEVEL = 9
@@ -171,7 +173,7 @@ def _reader(words: bytes | None):
         media = hashlib.sha256(head)
         for x in stored:
             media.update(x)
-        return (key, len(payload), whole.digest(), zlib.crc32(payload[-UNIT:]), len(head) + sum(map(len, stored)), media.digest(), features_of(payload), len(stored), ok)
+        return (key, len(payload), whole.digest(), zlib.crc32(payload[-TAIL:]), len(head) + sum(map(len, stored)), media.digest(), features_of(payload), len(stored), ok)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = _decompressor(words).decompress

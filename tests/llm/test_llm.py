@@ -197,6 +197,20 @@ def test_media_round_trip(spark, docs):
         assert len(r.media_sha256) == 64 and r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-576:]) and b"".join(media.chunks_of(payload)) == payload
 
 
+def test_media_payload_columns_of_odd_rows(spark, tmp_path):
+    texts = [None, "", "a", "x" * 575, "x" * 576, "x" * 577, "a" * 544 + "b" * 32, "\u00e9" * 288, "\0" * 10, "\U0001d11e" * 1000, "ab" * 30000, "line\r\n"]
+    rows = [*enumerate(texts), (None, "no id"), (None, None), (5, "again"), (5, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def want(text):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])
+
+    got = [(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in registry.queries()["op9_media_columns"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(((i, *want(x)) for i, x in rows), key=repr)
+
+
 def test_media_of_common_chunks(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
