@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..envelope import MUTATIONS, TERMINATORS
+from ..shared import checkpointed
 from .stateless import MARKER_TABLE, drop_markers
 
 
@@ -39,23 +42,94 @@ class FifoDedup:
         return False
 
 
-def dedup_fifo(df: DataFrame, capacity: int = 1000, source: str = "source_database") -> DataFrame:
-    """The exact bounded form: each source in seq order, which is sequential by nature.
+#: Rows that a task of a scan in order takes, and how many times the capacity they are at least: the queues at
+#: the tasks' ends meet on the driver.
+SCAN_ROWS, SCAN_QUEUES = 250_000, 64
 
-    Spark sorts (and spills); the Python step streams over the batches and holds ``capacity`` ids.
+
+def in_ranges(df: DataFrame, order: list[str], rows: int, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+    """``df`` in total order over tasks of about ``rows`` rows, numbered by __part; kept, so that all passes over it agree."""
+    n = max(1, -(-df.count() // rows))
+    return keep(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+
+
+def _fifo_pass(capacity: int, source: str, starts: Broadcast, emit: str):
+    """One task's rows in order, its first source with the queue of ``starts``.
+
+    emit: "rows" gives accepted rows; "end" the first source, the last one and its queue; "queues" those of
+    the sources that end in the task (starts names the tasks whose last source goes on in the next).
     """
+    lists = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("ids", pa.list_(pa.string()))])
+
+    def told(part: int, first: str | None, last: str | None, state: FifoDedup) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, first, last, list(state.queue)), lists, strict=True)], schema=lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
+        queues, going_on = starts.value
+        part = first = now = state = None
         for batch in batches:
             keep = []
-            for name, id in zip(batch.column(source).to_pylist(), batch.column("id").to_pylist(), strict=True):
+            for name, id, turn in zip(batch.column(source).to_pylist(), batch.column("id").to_pylist(), batch.column("__turn").to_pylist(), strict=True):
                 if state is None or name != now:
-                    now, state = name, FifoDedup(capacity)
-                keep.append(not state.check(id))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return df.repartition(source).sortWithinPartitions(source, "seq").mapInArrow(run, df.schema)
+                    if state is not None and emit == "queues":
+                        yield told(part, first, now, state)
+                    now, new = name, FifoDedup(capacity)
+                    if state is None:
+                        part, first = batch.column("__part")[0].as_py(), name
+                        for x in queues.get(part, ()):
+                            new.check(x)
+                    state = new
+                keep.append(not state.check(id) and turn > 0)
+            if emit == "rows":
+                yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__turn", "__part"])
+        if state is not None and (emit == "end" or emit == "queues" and part not in going_on):
+            yield told(part, first, now, state)
+
+    return run
+
+
+def fifo(
+    df: DataFrame, capacity: int, source: str = "source_database", held: DataFrame | None = None, rows: int = SCAN_ROWS, keep: Callable[[DataFrame], DataFrame] = checkpointed,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that the bounded dedup accepts, each source in seq order; each source's queue afterwards (source, seq, id); and the kept input.
+
+    held: queues before the first rows, in the same form. The order is cut into tasks. Each runs from the queue
+    that the one before it was found to end with, at first an empty one, until no start changes; then every
+    task has started from the true end of the one before it. A round settles one task at least, and all but
+    always all of them, as queues forget their start; only tasks whose start changed run again.
+    """
+    spark = df.sparkSession
+    turns = df.withColumn("__turn", F.lit(1))
+    if held is not None:
+        turns = turns.unionByName(held.withColumn("__turn", F.lit(0)), allowMissingColumns=True)
+    ranges = in_ranges(turns, [source, "__turn", "seq", "id"], max(rows, SCAN_QUEUES * capacity), keep)
+    told = "part int, first string, last string, ids array<string>"
+
+    def at(queues: dict[int, list[str]], going_on: set[int], emit: str, schema) -> DataFrame:
+        slim = ranges if emit == "rows" else ranges.select(source, "id", "__turn", "__part")
+        return slim.mapInArrow(_fifo_pass(capacity, source, spark.sparkContext.broadcast((queues, going_on)), emit), schema)
+
+    queues: dict[int, list[str]] = {}
+    going_on: set[int] = set()
+    ends: dict[int, Row] = {}
+    changed = None
+    while changed is None or changed:
+        found = at(queues, going_on, "end", told).rdd
+        ends |= {r.part: r for r in spark.sparkContext.runJob(found, list, changed)}
+        after, going_on = {}, set()
+        for a, b in pairwise(sorted(ends)):
+            if ends[a].last == ends[b].first:
+                after[b] = ends[a].ids
+                going_on.add(a)
+        changed = [b for b in after if after[b] != queues.get(b, [])]
+        queues = after
+    left = at(queues, going_on, "queues", told).select(F.col("last").alias(source), F.posexplode("ids").alias("seq", "id"))
+    return at(queues, going_on, "rows", df.schema), left.select(source, F.col("seq").cast("long"), "id"), ranges
+
+
+def dedup_fifo(df: DataFrame, capacity: int = 1000, source: str = "source_database", rows: int = SCAN_ROWS) -> DataFrame:
+    """The exact bounded form: each source in seq order, in tasks of about ``rows`` rows that hand their queues on."""
+    return fifo(df, capacity, source, rows=rows)[0]
 
 
 def with_terminator(df: DataFrame, source: str = "source_database") -> DataFrame:

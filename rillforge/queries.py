@@ -114,7 +114,7 @@ def fifo_rows(spark, d):
 @query("SELECT 'evt-' || event_id AS id, event_id * 10 AS seq FROM events UNION ALL SELECT 'evt-' || event_id, event_id * 10 + 1055 FROM events WHERE event_id % 7 = 0 AND event_id < (SELECT count(*) FROM events) - 200")
 def dedup_fifo_mixed(spark, d):
     """Repeats inside a capacity of 100 are dropped, those beyond it are accepted again."""
-    return ordered.dedup_fifo(fifo_rows(spark, d), 100).select("id", "seq")
+    return ordered.dedup_fifo(fifo_rows(spark, d).select("id", "source_database", "seq"), 100).select("id", "seq")
 
 
 FIELDS = {"fields": {"event_type": "string", "user_id": "integer", "value": "float"}}

@@ -227,3 +227,30 @@ def test_state_that_cannot_be_read_is_no_empty_state(spark, tmp_path):
     (tmp_path / "s" / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception):
         state.StateStore(spark, str(tmp_path / "s")).get_offset("x")
+
+
+@pytest.mark.parametrize("sources, kinds", [(1, 40), (3, 40), (1, 4), (300, 40)])
+def test_fifo_over_many_tasks_equals_a_sequential_model(spark, sources, kinds):
+    """Ids far fewer than rows, so that repeats fall inside and beyond the capacity; 4 kinds and a capacity of 3 never forget their start."""
+    rng = random.Random(sources + kinds)
+    rows = [(f"e{rng.randrange(kinds) if kinds > 4 else i % kinds}", f"db{rng.randrange(sources)}", i) for i in range(6000)]
+    capacity = 3 if kinds == 4 else 20
+    states, want = {}, []
+    for id, source, seq in rows:
+        if not states.setdefault(source, ordered.FifoDedup(capacity)).check(id):
+            want.append(seq)
+    df = spark.createDataFrame(rows, "id string, source_database string, seq long").repartition(5)
+    kept, queues, ranges = ordered.fifo(df, capacity, rows=100)
+    assert ranges.select("__part").distinct().count() > 3 or capacity == 20
+    assert sorted(r.seq for r in kept.collect()) == want
+    got = {}
+    for r in queues.orderBy("seq").collect():
+        got.setdefault(r.source_database, []).append(r.id)
+    assert got == {k: list(v.queue) for k, v in states.items()}
+
+
+def test_fifo_sorts_one_source_in_many_tasks(spark):
+    rows = spark.range(100_000).selectExpr("concat('e', id div 2) id", "'db' source_database", "id seq")
+    kept, _, ranges = ordered.fifo(rows, 10, rows=10_000)
+    sizes = [r["count"] for r in ranges.groupBy("__part").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 20_000 and kept.count() == 50_000
