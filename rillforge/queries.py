@@ -98,7 +98,7 @@ def dedup_fifo_exact(spark, d):
     e = events(spark, d)
     rows = repeated(spark, d, 1055).where(F.col("seq") < (e.count() - 200) * 10 + 1055)
     tail = e.where(F.col("seq") * 10 >= (e.count() - 200) * 10 + 1055).withColumn("seq", F.col("seq") * 10)
-    return ordered.dedup_fifo(rows.unionByName(tail), 100).select("id", "seq")
+    return ordered.dedup_fifo(rows.unionByName(tail).select("id", "source_database", "seq"), 100).select("id", "seq")
 
 
 def fifo_rows(spark, d):
