@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..envelope import MUTATIONS, TERMINATORS
 from ..shared import checkpointed
@@ -132,10 +133,10 @@ def dedup_fifo(df: DataFrame, capacity: int = 1000, source: str = "source_databa
     return fifo(df, capacity, source, rows=rows)[0]
 
 
-def with_terminator(df: DataFrame, source: str = "source_database") -> DataFrame:
-    """Adds terminator and terminator_seq, the next Commit or Rollback at or after each row of its transaction."""
+def with_terminator(df: DataFrame, source: str = "source_database", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Adds terminator and terminator_seq, the next Commit or Rollback at or after each row of its transaction in ``order``."""
     # backwards, so that the frame only grows: one pass over a transaction of any length
-    w = Window.partitionBy(source, "transaction_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(source, "transaction_id").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.when(F.col("operation").isin(*TERMINATORS), F.struct(F.col("operation").alias("op"), F.col("seq").alias("at")))
     return df.withColumn("__t", F.last_value(end, True).over(w)).withColumns({"terminator": F.col("__t.op"), "terminator_seq": F.col("__t.at")}).drop("__t")
 
@@ -156,6 +157,17 @@ def tx_committed(df: DataFrame) -> DataFrame:
     return free.unionByName(done)
 
 
+def gate(df: DataFrame, held: DataFrame, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``tx_committed`` lets pass, without emit_seq; the mutations still open afterwards; and the kept rows.
+
+    held: mutations open before the first rows of ``df``, whatever their seq.
+    """
+    rows = df.where(F.col("transaction_id").isNotNull()).withColumn("__turn", F.lit(1)).unionByName(held.withColumn("__turn", F.lit(0)))
+    told = keep(with_terminator(rows, order=("__turn", "seq")).where(F.col("operation").isin(*MUTATIONS)))
+    pick = lambda match: told.where(match).select(*df.columns)
+    return df.where(F.col("transaction_id").isNull()).unionByName(pick("terminator = 'Commit'")), pick("terminator is null"), told
+
+
 def tx_rolled_back(df: DataFrame) -> DataFrame:
     return _open(df, "Rollback").drop("terminator", "terminator_seq")
 
@@ -193,6 +205,43 @@ def windows(log: DataFrame, marker: str = MARKER_TABLE, source: str = "source_da
     return marks.select(source, F.col("seq").alias("low"), F.lead("seq").over(w).alias("high"), F.row_number().over(w).alias("n")).where("n % 2 = 1").drop("n")
 
 
+def window_flags(
+    log: DataFrame, marker: str = MARKER_TABLE, source: str = "source_database", held: DataFrame | None = None, rows: int = SCAN_ROWS, keep: Callable[[DataFrame], DataFrame] = checkpointed,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events with in_window and without markers; the sources whose window is open afterwards; and the kept input.
+
+    Any two Create or Commit markers make a window. held: sources with an open window before the first rows.
+    Tasks count the markers of their rows; those of a source's earlier tasks tell how a task starts.
+    """
+    is_marker = F.col("source_table_or_collection").eqNullSafe(F.lit(marker))
+    turns = log.withColumns({"__turn": F.lit(1), "__toggle": F.coalesce(is_marker & F.col("operation").isin("Create", "Commit"), F.lit(False)), "__event": ~is_marker})
+    if held is not None:
+        turns = turns.unionByName(held.select(source, F.lit(0).alias("__turn"), F.lit(True).alias("__toggle"), F.lit(False).alias("__event")), allowMissingColumns=True)
+    ranges = in_ranges(turns, [source, "__turn", "seq"], rows, keep)
+    # of each source with markers, how many each of its tasks has; only tasks that a source goes on in need a start, one each
+    counts = ranges.groupBy("__part", source).agg(F.count_if("__toggle").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(source).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    open_ = {r["__part"] for r in counts.withColumn("before", before).where("before % 2 = 1").select("__part", F.col(source)).collect()}
+    starts = log.sparkSession.sparkContext.broadcast(open_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, inside = False, None, False
+        for batch in batches:
+            flags = []
+            for name, toggle in zip(batch.column(source).to_pylist(), batch.column("__toggle").to_pylist(), strict=True):
+                if not begun:
+                    begun, now, inside = True, name, batch.column("__part")[0].as_py() in starts.value
+                elif name != now:
+                    now, inside = name, False
+                inside ^= toggle
+                flags.append(inside)
+            out = batch.append_column("in_window", pa.array(flags, pa.bool_()))
+            yield out.filter(batch.column("__event")).drop_columns(["__turn", "__toggle", "__event", "__part"])
+
+    after = counts.groupBy(source).agg(F.sum("n").alias("n")).where("n % 2 = 1").select(source)
+    return ranges.mapInArrow(run, StructType([*log.schema.fields, StructField("in_window", BooleanType())])), after, ranges
+
+
 def reconcile(chunk: DataFrame, log: DataFrame, marker: str = MARKER_TABLE, source: str = "source_database") -> DataFrame:
     """Chunk rows (key, after, timestamp, ...) as left by the log's events inside marker windows.
 

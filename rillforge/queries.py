@@ -407,34 +407,29 @@ def _streamed(spark, df):
     return spark.readStream.schema(SCHEMA).parquet(path)
 
 
-def _drained(spark, stream):
+def _drained(spark, stream, step, *options):
+    """What a step of micro-batches writes of ``stream``."""
     path = _folder(spark)
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
-
-
-def _rocksdb(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.PROVIDER)
+    write = step(f"{path}/state", sinks.batch_files(f"{path}/out"), *options)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
 
 
 @query("SELECT o_orderkey * 2 AS seq, (o_orderkey * 2 > 4001 AND o_orderkey * 2 < 5001) OR (o_orderkey * 2 > 7001 AND o_orderkey * 2 < 7301) AS in_window FROM orders")
 def watermark_window_flag(spark, d):
     """The stream's in_window flag of each event."""
-    _rocksdb(spark)
     log = _log(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("id", "before", "transaction_id", "offset")})
-    return _drained(spark, processors.mark_windows(_streamed(spark, log))).select("seq", "in_window")
+    return _drained(spark, _streamed(spark, log), processors.mark_windows).select("seq", "in_window")
 
 
 @query("SELECT 'evt-' || event_id AS id, event_id * 10 AS seq FROM events UNION ALL SELECT 'evt-' || event_id, event_id * 10 + 1055 FROM events WHERE event_id % 7 = 0 AND event_id < (SELECT count(*) FROM events) - 200")
 def stream_dedup_fifo(spark, d):
     """The stream's bounded dedup on the input of ``dedup_fifo_mixed``."""
-    _rocksdb(spark)
-    return _drained(spark, processors.dedup(_streamed(spark, fifo_rows(spark, d)), 100)).select("id", "seq")
+    return _drained(spark, _streamed(spark, fifo_rows(spark, d)), processors.dedup, 100).select("id", "seq")
 
 
 def _composed(spark, d):
     """Events with bad payloads and a poisoned transform, through the composed stream."""
-    _rocksdb(spark)
     e = events(spark, d).withColumn("after", F.when(F.col("seq") % 17 == 0, F.lit(None)).otherwise(F.col("after")))
     transform = lambda df: df.withColumn("error_reason", F.when(F.col("seq") % 50 == 1, F.lit("Transform: poison")))
     path = _folder(spark)

@@ -1,4 +1,8 @@
-"""Structured Streaming forms: transaction buffer, FIFO dedup, watermark window, and the composed stream."""
+"""Structured Streaming forms: transaction buffer, FIFO dedup, watermark window, and the composed stream.
+
+Dedup, window and the composed stream are steps of ``foreachBatch``: each micro-batch goes through the distributed
+batch operator, with the state that the one before left in a folder. So no task holds all rows of a source.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..envelope import COLUMNS, MUTATIONS, SCHEMA
-from ..operators import stateless
+from ..operators import ordered, stateless
 from ..sources import sinks
 from ..state import StateStore, latest_offsets
 
@@ -57,108 +62,100 @@ class TransactionBuffer(StatefulProcessor):
         pass
 
 
-class Fifo(StatefulProcessor):
-    """Keyed by source: drops ids among the last ``capacity`` accepted ones."""
+def _run(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "None")
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ids = handle.getListState("ids", "id string")
+def buffer_transactions(stream: DataFrame) -> DataFrame:
+    """Committed mutations, and rows without transaction as they are."""
+    stream = stream.select(*COLUMNS)
+    tx = _run(stream.where("transaction_id is not null"), ["source_database", "transaction_id"], TransactionBuffer(), SCHEMA)
+    return tx.unionByName(stream.where("transaction_id is null"))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        from ..operators.ordered import FifoDedup
 
-        state = FifoDedup(self.capacity)
-        for (id,) in self.ids.get() if self.ids.exists() else ():
-            state.check(id)
-        pdf = _sorted(rows)[COLUMNS]
-        kept = pdf[[not state.check(x) for x in pdf["id"]]]
-        self.ids.put([(x,) for x in state.queue])
-        if len(kept):
-            yield kept
+class Memory:
+    """State between micro-batches in a folder: batch n reads what batch n - 1 left, and replaces what an earlier run of itself left."""
 
-    def close(self) -> None:
-        pass
+    def __init__(self, path: str, schema: str):
+        self.path, self.schema = path, schema
 
+    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(f"{self.path}/batch_id={batch_id - 1}")
 
-class WatermarkWindow(StatefulProcessor):
-    """Keyed by source: adds in_window to events and swallows markers; any two markers make a window."""
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        sinks.batch_files(self.path)(df, batch_id)
+        spark = df.sparkSession  # no run of a batch can need what was there before its predecessor
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch_id={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    def __init__(self, marker: str):
-        self.marker = marker
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "open boolean")
+def _on_disk(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.DISK_ONLY)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        inside = bool(self.open.get()[0]) if self.open.exists() else False
-        pdf, kept, flags = _sorted(rows)[COLUMNS], [], []
-        for i, (table, op) in enumerate(zip(pdf["source_table_or_collection"], pdf["operation"], strict=True)):
-            if table == self.marker:
-                inside ^= op in ("Create", "Commit")
-            else:
-                kept.append(i)
-                flags.append(inside)
-        self.open.update((inside,))
-        if kept:
-            yield pdf.iloc[kept].assign(in_window=flags)
 
-    def close(self) -> None:
-        pass
+QUEUES = "source_database string, seq long, id string"
+Write = Callable[[DataFrame, int], None]
 
 
-def _run(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "None")
+def dedup(path: str, write: Write, capacity: int = 1000) -> Write:
+    """A foreachBatch function: writes the events whose id isn't among the last ``capacity`` accepted ones of their source."""
+    memory = Memory(path, QUEUES)
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept, queues, ranges = ordered.fifo(batch.select(*COLUMNS), capacity, held=memory.read(batch.sparkSession, batch_id), keep=_on_disk)
+        try:
+            memory.write(queues.repartition("source_database"), batch_id)
+            write(kept, batch_id)
+        finally:
+            ranges.unpersist()
 
-def buffer_transactions(stream: DataFrame) -> DataFrame:
-    """Committed mutations, and rows without transaction as they are."""
-    stream = stream.select(*COLUMNS)
-    tx = _run(stream.where("transaction_id is not null"), ["source_database", "transaction_id"], TransactionBuffer(), SCHEMA)
-    return tx.unionByName(stream.where("transaction_id is null"))
+    return run
 
 
-def dedup(stream: DataFrame, capacity: int = 1000) -> DataFrame:
-    return _run(stream.select(*COLUMNS), ["source_database"], Fifo(capacity), SCHEMA)
+def mark_windows(path: str, write: Write, marker: str = stateless.MARKER_TABLE) -> Write:
+    """A foreachBatch function: writes events with in_window and swallows markers; any two markers make a window."""
+    memory = Memory(path, "source_database string")
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        flagged, open_, ranges = ordered.window_flags(batch.select(*COLUMNS), marker, held=memory.read(batch.sparkSession, batch_id), keep=_on_disk)
+        try:
+            memory.write(open_, batch_id)
+            write(flagged, batch_id)
+        finally:
+            ranges.unpersist()
 
-def mark_windows(stream: DataFrame, marker: str = stateless.MARKER_TABLE) -> DataFrame:
-    return _run(stream.select(*COLUMNS), ["source_database"], WatermarkWindow(marker), SCHEMA + ", in_window boolean")
+    return run
 
 
-def transactional(stream: DataFrame, schema: dict | None, partitions: int = 4, capacity: int | None = None) -> DataFrame:
-    """The transactional pipeline on a stream: valid, committed and routed events.
+def transactional(stream: DataFrame, schema: dict | None, partitions: int = 4) -> DataFrame:
+    """The transactional pipeline as a streaming frame: valid, committed and routed events.
 
-    Without a capacity ids are remembered for good, which ``dropDuplicates`` spreads over tasks.
+    Ids are remembered for good, which ``dropDuplicates`` spreads over tasks; ``start`` is the form with a capacity.
     """
-    valid = checked(stream, schema, capacity).where(F.col("error_reason").isNull()).drop("error_reason")
+    valid = stateless.split(stateless.validate(_unique(stream), schema))[0]
     return stateless.route(buffer_transactions(stateless.drop_markers(valid)), partitions)
 
 
-def checked(stream: DataFrame, schema: dict | None, capacity: int | None) -> DataFrame:
-    """Events without repeats, with error_reason."""
-    unique = dedup(stream, capacity) if capacity is not None else stream.select(*COLUMNS).dropDuplicates(["id"])
-    return stateless.validate(unique, schema)
+def _unique(stream: DataFrame) -> DataFrame:
+    return stream.select(*COLUMNS).dropDuplicates(["id"])
 
 
 @dataclass
 class Running:
-    """The two queries of a composed stream: events, and dead letters of the validation."""
+    """The query of a composed stream."""
 
-    events: StreamingQuery
-    letters: StreamingQuery
+    query: StreamingQuery
 
     def wait(self, seconds: float | None = None) -> None:
-        for q in (self.events, self.letters):
-            q.awaitTermination(seconds)
+        self.query.awaitTermination(seconds)
 
     def stop(self) -> None:
         """A graceful stop: what has arrived is processed first, so that no batch is cut off."""
-        for q in (self.events, self.letters):
-            if q.isActive:
-                q.processAllAvailable()
-                q.stop()
+        if self.query.isActive:
+            self.query.processAllAvailable()
+            self.query.stop()
 
 
 def start(
@@ -173,6 +170,31 @@ def start(
     if not is_leader():
         return None
 
+    queues, open_ = Memory(f"{path}/state_queues", QUEUES), Memory(f"{path}/state_open", SCHEMA)
+    bounded = config.capacity is not None
+
+    def process(batch: DataFrame, batch_id: int, held: list[DataFrame]) -> None:
+        spark = batch.sparkSession
+        keep = lambda df: held.append(_on_disk(df)) or held[-1]
+        unique = batch.select(*COLUMNS)
+        if bounded:
+            unique, after, _ = ordered.fifo(unique, config.capacity, held=queues.read(spark, batch_id), keep=keep)
+            queues.write(after.repartition("source_database"), batch_id)
+        told = keep(stateless.validate(unique, config.schema))
+        bury(told.where("error_reason is not null"), batch_id)
+        valid = stateless.drop_markers(told.where("error_reason is null").drop("error_reason"), config.marker)
+        passed, waiting, _ = ordered.gate(valid, open_.read(spark, batch_id), keep)
+        open_.write(waiting, batch_id)
+        emit(passed, batch_id)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        held: list[DataFrame] = []
+        try:
+            process(batch, batch_id, held)
+        finally:
+            for df in held:
+                df.unpersist()
+
     def emit(batch: DataFrame, batch_id: int) -> None:
         done, failed = stateless.split(config.transform(batch))
         sinks.batch_files(f"{path}/letters_transform")(sinks.dead_letters(failed, F.col("error_reason"), "Transform"), batch_id)
@@ -185,7 +207,6 @@ def start(
     def bury(batch: DataFrame, batch_id: int) -> None:
         sinks.batch_files(f"{path}/letters_validation")(sinks.dead_letters(batch, F.col("error_reason"), "SchemaValidation"), batch_id)
 
-    told = checked(stream, config.schema, config.capacity)
-    valid = stateless.drop_markers(told.where("error_reason is null").drop("error_reason"), config.marker)
-    run = lambda df, write, name: (lambda w: w.trigger(availableNow=True) if available_now else w)(df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint_{name}")).start()
-    return Running(run(buffer_transactions(valid), emit, "events"), run(told.where("error_reason is not null"), bury, "letters"))
+    source = stream if bounded else _unique(stream)
+    writer = source.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/checkpoint")
+    return Running((writer.trigger(availableNow=True) if available_now else writer).start())

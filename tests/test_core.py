@@ -254,3 +254,9 @@ def test_fifo_sorts_one_source_in_many_tasks(spark):
     kept, _, ranges = ordered.fifo(rows, 10, rows=10_000)
     sizes = [r["count"] for r in ranges.groupBy("__part").count().collect()]
     assert len(sizes) == 10 and max(sizes) < 20_000 and kept.count() == 50_000
+
+
+def test_gate_takes_held_mutations_before_later_ones(spark):
+    held = frame(spark, [event(9, "Create", "a"), event(10, "Create", "b")])
+    passed, waiting, _ = ordered.gate(frame(spark, [event(3, "Commit", "a"), event(4, "Update", "a"), event(5, "Update"), event(6, "Rollback", "b"), event(7, "Create", "b")]), held)
+    assert sorted(r.seq for r in passed.collect()) == [5, 9] and sorted(r.seq for r in waiting.collect()) == [4, 7]
