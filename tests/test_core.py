@@ -260,3 +260,17 @@ def test_gate_takes_held_mutations_before_later_ones(spark):
     held = frame(spark, [event(9, "Create", "a"), event(10, "Create", "b")])
     passed, waiting, _ = ordered.gate(frame(spark, [event(3, "Commit", "a"), event(4, "Update", "a"), event(5, "Update"), event(6, "Rollback", "b"), event(7, "Create", "b")]), held)
     assert sorted(r.seq for r in passed.collect()) == [5, 9] and sorted(r.seq for r in waiting.collect()) == [4, 7]
+
+
+def test_the_composed_stream_deduplicates_a_batch_once_in_many_tasks(spark, monkeypatch):
+    sizes = []
+    ranged = ordered.in_ranges
+
+    def watched(df, order, rows, keep):
+        out = ranged(df, order, 100, keep)
+        sizes.append(max(r["count"] for r in out.groupBy("__part").count().collect()))
+        return out
+
+    monkeypatch.setattr(ordered, "in_ranges", watched)
+    steps = {r.failed_step for r in queries.QUERIES["stream_dead_letters"](spark, SF).collect()}
+    assert steps == {"Transform", "SchemaValidation"} and len(sizes) == 1 and max(sizes) < 300
