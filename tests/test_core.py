@@ -274,3 +274,38 @@ def test_the_composed_stream_deduplicates_a_batch_once_in_many_tasks(spark, monk
     monkeypatch.setattr(ordered, "in_ranges", watched)
     steps = {r.failed_step for r in queries.QUERIES["stream_dead_letters"](spark, SF).collect()}
     assert steps == {"Transform", "SchemaValidation"} and len(sizes) == 1 and max(sizes) < 300
+
+
+def test_steps_of_micro_batches_go_on_after_a_stop(spark, tmp_path):
+    """Ids within a capacity and beyond it, and a window, across two runs; a batch that runs twice changes nothing."""
+    m = stateless.MARKER_TABLE
+    rows = [event(i, "Create", id=x, table=m if i in (4, 9) else "users") for i, x in enumerate(["a", "a", "b", "c", "m", "a", "d", "e", "a", "n", "c"])]
+    for name, step, columns, want in (
+        ("dedup", lambda p, w: processors.dedup(p, w, 3), ["seq"], [(i,) for i in (0, 2, 3, 4, 5, 6, 7, 9, 10)]),
+        ("windows", processors.mark_windows, ["seq", "in_window"], [(i, 4 < i < 9) for i in range(11) if i not in (4, 9)]),
+    ):
+        source, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+        write = step(str(tmp_path / name / "state"), lambda df, i, out=out: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}"))
+        for part in (rows[:6], rows[6:]):
+            frame(spark, part).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(SCHEMA).parquet(source)
+            stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / name / "c")).trigger(availableNow=True).start().awaitTermination(120)
+        write(frame(spark, rows[6:]), 1)
+        assert sorted(tuple(r[c] for c in columns) for r in spark.read.parquet(out).collect()) == want
+
+
+def test_streams_hold_no_source_in_one_task(spark, monkeypatch):
+    """What a stream's steps keep of a batch is spread over tasks, not keyed by source."""
+    sizes = []
+    ranged = ordered.in_ranges
+
+    def watched(df, order, rows, keep):
+        out = ranged(df, order, 100, keep)
+        sizes.append(max(r["count"] for r in out.groupBy("__part").count().collect()))
+        return out
+
+    monkeypatch.setattr(ordered, "in_ranges", watched)
+    kept = {}
+    for name in ("stream_dedup_fifo", "watermark_window_flag"):
+        kept[name] = queries.QUERIES[name](spark, SF).count()
+    assert len(sizes) == 2 and max(sizes) < 300 and min(kept.values()) > 600
