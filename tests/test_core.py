@@ -309,3 +309,22 @@ def test_streams_hold_no_source_in_one_task(spark, monkeypatch):
     for name in ("stream_dedup_fifo", "watermark_window_flag"):
         kept[name] = queries.QUERIES[name](spark, SF).count()
     assert len(sizes) == 2 and max(sizes) < 300 and min(kept.values()) > 600
+
+
+def test_window_flags_over_many_tasks_and_batches_equal_a_sequential_model(spark):
+    rng = random.Random(8)
+    m = stateless.MARKER_TABLE
+    rows = [event(i, rng.choice(["Create", "Update", "Commit"]), table=m if rng.random() < 0.01 else None if rng.random() < 0.1 else "users") for i in range(9000)]
+    rows = [(r[0], "one" if i % 3 else f"db{i % 7}", *r[2:]) for i, r in enumerate(rows)]
+    inside, want = {}, []
+    for r in rows:
+        if r[2] == m:
+            inside[r[1]] = inside.get(r[1], False) ^ (r[3] in ("Create", "Commit"))
+        else:
+            want.append((r[10], inside.get(r[1], False)))
+    held, got = None, []
+    for part in (rows[:5000], rows[5000:]):
+        flagged, held, ranges = ordered.window_flags(frame(spark, part).repartition(3), held=held, rows=500)
+        assert ranges.select("__part").distinct().count() > 5
+        got += [(r.seq, r.in_window) for r in flagged.collect()]
+    assert sorted(got) == sorted(want) and {r[0] for r in held.collect()} == {k for k, v in inside.items() if v}
