@@ -57,8 +57,8 @@ def in_ranges(df: DataFrame, order: list[str], rows: int, keep: Callable[[DataFr
 def _fifo_pass(capacity: int, source: str, starts: Broadcast, emit: str):
     """One task's rows in order, its first source with the queue of ``starts``.
 
-    emit: "rows" gives accepted rows; "end" the first source, the last one and its queue; "queues" those of
-    the sources that end in the task (starts names the tasks whose last source goes on in the next).
+    emit: "end" gives the first source, the last one and its queue; "queues" those of the sources that
+    end in the task (starts names the tasks whose last source goes on in the next).
     """
     lists = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("ids", pa.list_(pa.string()))])
 
@@ -69,8 +69,7 @@ def _fifo_pass(capacity: int, source: str, starts: Broadcast, emit: str):
         queues, going_on = starts.value
         part = first = now = state = None
         for batch in batches:
-            keep = []
-            for name, id, turn in zip(batch.column(source).to_pylist(), batch.column("id").to_pylist(), batch.column("__turn").to_pylist(), strict=True):
+            for name, id in zip(batch.column(source).to_pylist(), batch.column("id").to_pylist(), strict=True):
                 if state is None or name != now:
                     if state is not None and emit == "queues":
                         yield told(part, first, now, state)
@@ -80,15 +79,37 @@ def _fifo_pass(capacity: int, source: str, starts: Broadcast, emit: str):
                         for x in queues.get(part, ()):
                             new.check(x)
                     state = new
-                keep.append(not state.check(id) and turn > 0)
-            if emit == "rows":
-                yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__turn", "__part"])
+                state.check(id)
         if state is not None and (emit == "end" or emit == "queues" and part not in going_on):
             yield told(part, first, now, state)
 
     return run
 
 
+def _accepted(capacity: int, starts: Broadcast):
+    """Whether the dedup accepts each of one task's rows in order: only what tells this goes to Python, not the row.
+
+    Not deterministic to the optimizer, so that no filter of a later step takes rows away below it.
+    """
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        now = state = None
+        for sources, ids, turns, parts in batches:
+            keep = []
+            for name, id, turn in zip(sources.to_pylist(), ids.to_pylist(), turns.to_pylist(), strict=True):
+                if state is None:
+                    now, state = name, FifoDedup(capacity)
+                    for x in starts.value[0].get(parts[0].as_py(), ()):
+                        state.check(x)
+                elif name != now:
+                    now, state = name, FifoDedup(capacity)
+                keep.append(not state.check(id) and turn > 0)
+            yield pa.array(keep, pa.bool_())
+
+    return run.asNondeterministic()
+
+
 def fifo(
     df: DataFrame, capacity: int, source: str = "source_database", held: DataFrame | None = None, rows: int = SCAN_ROWS, keep: Callable[[DataFrame], DataFrame] = checkpointed,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,16 +127,15 @@ def fifo(
     ranges = in_ranges(turns, [source, "__turn", "seq", "id"], max(rows, SCAN_QUEUES * capacity), keep)
     told = "part int, first string, last string, ids array<string>"
 
-    def at(queues: dict[int, list[str]], going_on: set[int], emit: str, schema) -> DataFrame:
-        slim = ranges if emit == "rows" else ranges.select(source, "id", "__turn", "__part")
-        return slim.mapInArrow(_fifo_pass(capacity, source, spark.sparkContext.broadcast((queues, going_on)), emit), schema)
+    def at(emit: str, of: DataFrame) -> DataFrame:
+        return of.select(source, "id", "__part").mapInArrow(_fifo_pass(capacity, source, spark.sparkContext.broadcast((queues, going_on)), emit), told)
 
     queues: dict[int, list[str]] = {}
     going_on: set[int] = set()
     ends: dict[int, Row] = {}
     changed = None
     while changed is None or changed:
-        found = at(queues, going_on, "end", told).rdd
+        found = at("end", ranges).rdd
         ends |= {r.part: r for r in spark.sparkContext.runJob(found, list, changed)}
         after, going_on = {}, set()
         for a, b in pairwise(sorted(ends)):
@@ -124,8 +144,12 @@ def fifo(
                 going_on.add(a)
         changed = [b for b in after if after[b] != queues.get(b, [])]
         queues = after
-    left = at(queues, going_on, "queues", told).select(F.col("last").alias(source), F.posexplode("ids").alias("seq", "id"))
-    return at(queues, going_on, "rows", df.schema), left.select(source, F.col("seq").cast("long"), "id"), ranges
+    # where no source ends, none tells its queue
+    ending = [int(a) for a in ends if a not in going_on or ends[a].first != ends[a].last]
+    left = at("queues", ranges.where(F.col("__part").isin(ending))).select(F.col("last").alias(source), F.posexplode("ids").alias("seq", "id"))
+    accepted = _accepted(capacity, spark.sparkContext.broadcast((queues, going_on)))
+    kept = ranges.withColumn("__keep", accepted(source, "id", "__turn", "__part")).where("__keep").select(*df.columns)
+    return kept, left.select(source, F.col("seq").cast("long"), "id"), ranges
 
 
 def dedup_fifo(df: DataFrame, capacity: int = 1000, source: str = "source_database", rows: int = SCAN_ROWS) -> DataFrame:

@@ -428,14 +428,20 @@ def stream_dedup_fifo(spark, d):
     return _drained(spark, _streamed(spark, fifo_rows(spark, d)), processors.dedup, 100).select("id", "seq")
 
 
+def _event_stream(spark, d):
+    """The events table's files as a stream; a stream of files takes a folder or a pattern, which here is of one name."""
+    found = spark.read.parquet(f"{d}/events.parquet").schema
+    return from_events(spark.readStream.schema(found).parquet(f"{d}/{{events.parquet}}"))
+
+
 def _composed(spark, d):
     """Events with bad payloads and a poisoned transform, through the composed stream."""
-    e = events(spark, d).withColumn("after", F.when(F.col("seq") % 17 == 0, F.lit(None)).otherwise(F.col("after")))
+    e = _event_stream(spark, d).withColumn("after", F.when(F.col("seq") % 17 == 0, F.lit(None)).otherwise(F.col("after")))
     transform = lambda df: df.withColumn("error_reason", F.when(F.col("seq") % 50 == 1, F.lit("Transform: poison")))
     path = _folder(spark)
     store = StateStore(spark, f"{path}/state")
-    assert processors.start(_streamed(spark, e), None, path, is_leader=lambda: False) is None
-    processors.start(_streamed(spark, e), pipelines.Config(FIELDS, transform=transform), path, store, lambda: Election().tick().tick().is_leader).wait()
+    assert processors.start(e, None, path, is_leader=lambda: False) is None
+    processors.start(e, pipelines.Config(FIELDS, transform=transform), path, store, lambda: Election().tick().tick().is_leader).wait()
     return path, store
 
 

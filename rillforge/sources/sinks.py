@@ -59,7 +59,9 @@ def forward_to_peers(df: DataFrame, peers, path: str) -> list[str]:
 
 
 def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: every sink in turn; an error fails the batch, so offsets don't run ahead."""
+    """A foreachBatch function: every sink in turn; an error fails the batch, so offsets don't run ahead. A batch is kept for many sinks, not for one."""
+    if len(sinks) == 1:
+        return sinks[0]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()

@@ -11,7 +11,7 @@ from rillforge.envelope import COLUMNS, SCHEMA
 from rillforge.functions import security
 from rillforge.operators import ordered, stateless
 from rillforge.plans import pipelines
-from rillforge.sources import generators
+from rillforge.sources import generators, sinks
 from rillforge.streaming import processors
 
 SF = "/root/testdata/sf0.001"
@@ -328,3 +328,26 @@ def test_window_flags_over_many_tasks_and_batches_equal_a_sequential_model(spark
         assert ranges.select("__part").distinct().count() > 5
         got += [(r.seq, r.in_window) for r in flagged.collect()]
     assert sorted(got) == sorted(want) and {r[0] for r in held.collect()} == {k for k, v in inside.items() if v}
+
+
+def test_the_composed_stream_copies_no_input(spark, monkeypatch):
+    """Its source is the table itself, and a standby writes nothing."""
+    monkeypatch.setattr(queries, "_streamed", lambda *a: pytest.fail("a copy of the events was written"))
+    assert queries.QUERIES["stream_dead_letters"](spark, SF).count() > 0
+
+
+def test_fifo_sends_python_no_rows_and_later_filters_change_no_verdict(spark):
+    rows = spark.range(4000).selectExpr("concat('e', id % 150) id", "'db' source_database", "id seq", "'x' payload")
+    kept, queues, _ = ordered.fifo(rows, 100, rows=500)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    all_ = sorted(r.seq for r in kept.collect())
+    assert sorted(r.seq for r in kept.where("seq >= 2000 and id <> 'e7'").collect()) == [i for i in all_ if i >= 2000 and i % 150 != 7]
+    assert queues.count() == 100
+
+
+def test_one_sink_keeps_no_batch(spark):
+    seen = []
+    sinks.fan_out(lambda df, i: seen.append(df.storageLevel.useDisk))(spark.range(3), 0)
+    sinks.fan_out(*[lambda df, i: seen.append(df.storageLevel.useDisk)] * 2)(spark.range(3), 0)
+    assert seen == [False, True, True]
