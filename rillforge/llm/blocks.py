@@ -180,14 +180,14 @@ class Texts:
 WORDS = "block long, slice int, lengths binary, data binary, more binary"
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pc.not_equal(batch.column("slice"), TEXTS)).select(["block", "slice", "lengths", "data", "more"])
+def words_sent(rows: DataFrame, *also: str) -> DataFrame:
+    """The words that blocks send, by slice, with further binary columns. A Python step, so that ``rows`` stays one exchange that both ends of a query read."""
 
+    def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.not_equal(batch.column("slice"), TEXTS)).select(["block", "slice", "lengths", "data", "more", *also])
 
-def words_sent(rows: DataFrame) -> DataFrame:
-    """The words that blocks send, by slice. A Python step, so that ``rows`` stays one exchange that both ends of a query read."""
-    return rows.mapInArrow(_word_rows, WORDS).repartition("slice").sortWithinPartitions("slice", "block")
+    return rows.mapInArrow(word_rows, ", ".join([WORDS, *(f"{c} binary" for c in also)])).repartition("slice").sortWithinPartitions("slice", "block")
 
 
 def by_slice(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:

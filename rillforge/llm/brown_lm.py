@@ -11,17 +11,19 @@ Tokens are words with A-Z lower-cased, and one end after each text. Training:
    the likelihood of the class bigram model, until a round moves none. The bigram counts have at most
    (CORE + 1 + SIGNATURES) ** 2 cells whatever the corpus, so this runs in the driver.
 4. Every further word of the training texts, however rare, gets its class by its own counts with the
-   classes before and after it: the class under which these are likeliest. The counts meet by word in
-   a distributed pass (``assign``), so the clustered vocabulary is the vocabulary of the corpus.
+   classes before and after it: the class under which these are likeliest. The counts meet in the word's
+   slice of the vocabulary (``blocks``), so the clustered vocabulary is the vocabulary of the corpus.
    Signatures only give the classes of neighbours in this pass, and of words that training has not seen.
 5. Class bigrams are counted anew with the classes of all words.
 
 P(word | class before) = P(class | class before) * P(word | class): transitions with Witten-Bell
 smoothing, emissions (c + 0.1) / (N_class + 0.1 * (V_class + 1)), which leaves mass for unseen words.
 
-Scoring deals the texts into blocks by their rows, repeated rows like others; a block meets the counts and classes of its own distinct
-words by a join, so no task needs the vocabulary as a whole and nothing that grows is broadcast. It
-gives the class of each token, from which step 5 and then the scores are reckoned row by row.
+Steps 4 and 5 and the scores cut each text once: texts stand in blocks of numbers, in the order of their
+rows, repeated rows like others. A block sends each slice its own distinct words there, with the neighbours
+of their training tokens, and the slice answers with the words' counts and classes. So no task needs the
+vocabulary as a whole and nothing that grows is broadcast. The block then has the class of each token,
+from which step 5 and the scores are reckoned row by row.
 
 Defined results: null texts are empty, that is one end; a null doc_id counts as held out; repeated
 rows count and score each; without training texts every count is 0. Extra columns are ignored.
@@ -30,19 +32,20 @@ rows count and score each; without training texts every count is 0. Extra column
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import Query, checkpointed, give_back, held_out, numbered, small_batches, table
 
 END = b""
@@ -52,8 +55,10 @@ CORE = 2048
 SIGNATURES = 512
 ADDED = 0.1
 ROUNDS = 6
-#: Tokens that one block of scoring aims at, and bytes of a token and the space after it in ordinary text.
-BLOCK_TOKENS, TOKEN_BYTES = 1_000_000, 6.5
+#: Tokens that one block of texts aims at, and characters of a token and the space after it in ordinary text.
+BLOCK_TOKENS, TOKEN_CHARS = 2_500_000, 6.5
+#: Words of a slice whose counts of neighbours are laid out at once.
+LAID_OUT = 16_384
 #: Characters of text that are counted as one, whatever the size of Arrow batches.
 COUNTED_CHARS = 24 << 20
 MARKS = ".,;:!?\"'()[]{}#$%&*|<>-_/\\"
@@ -235,25 +240,6 @@ class BrownModel:
     def classes(self) -> int:
         return self.likely.shape[1]
 
-    def classed(self, texts: list[str | None], words: list[bytes], counts: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray | list[bytes]]:
-        """n_tokens, n_known, lexical score and the tokens' classes of each text.
-
-        words, counts, classes: of all the texts' trained words that aren't core words.
-        """
-        distinct, flat, starts = self.units.sequence(texts)
-        core = self.units.core
-        place = dict(zip(words, range(len(core), len(core) + len(words)), strict=True)) | core
-        at = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))
-        n = np.where(at < 0, 0, np.concatenate([self.core_counts, counts])[at]).astype(np.float64)
-        c = np.concatenate([self.cls[: len(core)], classes])[at]
-        for i in np.flatnonzero(at < 0):
-            c[i] = self.cls[self.units.of(distinct[i])]
-        lexical = np.log10(n + ADDED)[flat]
-        length = np.diff(np.append(starts, len(flat)))
-        total = lambda x: np.add.reduceat(x, starts)
-        code = c.astype(np.uint8)[flat]
-        return {"n_tokens": length, "n_known": total((n > 0)[flat].astype(np.int64)), "lexical": total(lexical), "classes": [code[i : i + k].tobytes() for i, k in zip(starts, length, strict=True)]}
-
 
 def _log_transition(n: np.ndarray) -> np.ndarray:
     """Natural log of P(class | class before) with Witten-Bell smoothing, from class bigram counts."""
@@ -291,73 +277,186 @@ def fit(texts: DataFrame, classes: int = CLASSES, core: int = CORE) -> BrownMode
     return BrownModel(units, core_counts, cls, likely, n_tokens)
 
 
-def _neighbours(shared) -> object:
-    """Each word of a batch that isn't a core word, with two bytes for each token: class before, and ``classes`` + class after."""
+CODED = "block long, slice int, ids array<long>, marks binary, lengths binary, data binary, more binary, near binary"
+_TYPES = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint8).tobytes())
+
+
+def _bytes_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
+def _block_rows(block: int, ids: list, out: list[bool], texts: list[str | None], model: BrownModel, slices: int) -> pa.RecordBatch:
+    units, core = model.units, len(model.units.core)
+    distinct, flat, starts = units.sequence(texts)
+    length = np.diff(np.append(starts, len(flat)))
+    unit = units.of_all(distinct)
+    order = np.argsort(-np.bincount(flat, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # of each word, by rank: its unit if it is a core word, else its slice after those
+    of = unit[order]
+    rare = np.flatnonzero(of >= core)
+    names = [distinct[i] for i in order[rare].tolist()]
+    of[rare] = core + np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % slices
+    rows = [(block, blocks.TEXTS, ids, np.array(out, np.uint8).tobytes(), blocks.pack(length), blocks.pack(rank[flat]), blocks.pack(of), None)]
+    sent = np.argsort(of[rare], kind="stable")  # the words in the order in which slices get them
+    place = np.full(len(distinct), -1, np.int64)
+    place[order[rare[sent]]] = np.arange(len(sent))
+    own = place[flat]
+    # never the last token, which is an end; the first one comes after an end, as the last one is
+    at = np.flatnonzero((own >= 0) & np.repeat(~np.array(out, bool), length))
+    at = at[np.argsort(own[at], kind="stable")]
+    c = model.cls[unit].astype(np.uint8)[flat]
+    before, after = c[at - 1], c[np.minimum(at + 1, len(c) - 1)]
+    times = np.bincount(own[at], minlength=len(sent))
+    until = np.concatenate([[0], np.cumsum(times)])
+    found, begins = np.unique(of[rare[sent]], return_index=True)
+    for s, a, b in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(sent)], strict=True):
+        near = slice(until[a], until[b])
+        rows.append((block, s - core, None, None, *blocks.pack_bytes([names[i] for i in sent[a:b].tolist()]), blocks.pack(times[a:b]), _squeezed(np.concatenate([before[near], after[near]]))))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=[x.split()[0] for x in CODED.split(", ")])
+
+
+def _coded(docs: DataFrame, shared, slices: int, chars: int) -> DataFrame:
+    """Blocks of docs (doc_id, text, out) and the words that they send, dealt out by block. out: nothing is learned from the text.
+
+    slice ``TEXTS`` marks a block's texts: ids, marks (out), lengths, data (each token's word) and more (each word's unit, or its
+    slice). Other slices mark the words sent to them: lengths and data (the words), more (training tokens of each) and near (the
+    classes before and then those after each of these).
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        units, cls = model.units, model.cls
-        for texts in _gathered(batches):
-            distinct, flat, _ = units.sequence(texts)
-            unit = units.of_all(distinct)
-            c = cls[unit][flat].astype(np.uint8)
-            rare = unit >= len(units.core)
-            at = np.flatnonzero(rare[flat])  # never the last token, which is an end
-            # the first token of a batch comes after an end, as the last one is
-            codes = np.stack([c[at - 1], c[np.minimum(at + 1, len(c) - 1)] + np.uint8(model.classes)], axis=1)
-            own = flat[at]
-            codes = codes[np.argsort(own)]
-            lengths = 2 * np.bincount(own, minlength=len(distinct))[rare]
-            if lengths.sum() >= 1 << 31:
-                raise ValueError("a batch of texts has more than 2 ** 30 tokens")
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(codes.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, x in zip(distinct, rare.tolist(), strict=True) if x], pa.binary()), packed], names=["word", "codes"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        held: tuple[list, list, list] = ([], [], [])
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for x, y in zip(held, row, strict=True):
+                    x.append(y)
+                size += len(row[2] or "")
+                if size >= chars:
+                    yield _block_rows(block, *held, shared.value, slices)
+                    held, size, block = ([], [], []), 0, block + 1
+        if held[0]:
+            yield _block_rows(block, *held, shared.value, slices)
+        held = ([], [], [])
+        give_back()
+
+    return docs.select("doc_id", "out", "text").mapInArrow(cut, CODED).repartition("block")
 
-    return count
 
+def _slices(batches: Iterator[pa.RecordBatch], model: BrownModel) -> Iterator[tuple]:
+    """Of each slice: its number, words, training tokens and class of each, and who sent which of them: [(block, words)].
 
-def _likeliest(shared) -> object:
-    """word, n and class from rows of ``_neighbours`` sorted by word."""
+    A word without training tokens has the class of its signature.
+    """
+    classes, sides = model.classes, len(model.likely)
+    number: defaultdict[bytes, int] = defaultdict()
+    senders: list[tuple[int, np.ndarray]] = []
+    tokens: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def told(s: int) -> tuple:
+        word = np.concatenate([x for x, _ in tokens])
+        near = np.concatenate([x for _, x in tokens], axis=1)
+        order = np.argsort(word, kind="stable")
+        word, near = word[order], near[:, order]
+        n = np.bincount(word, minlength=len(number))
+        until = np.concatenate([[0], np.cumsum(n)])
+        cls = np.empty(len(number), np.int64)
+        for a in range(0, len(n), LAID_OUT):
+            b = min(a + LAID_OUT, len(n))
+            at = slice(until[a], until[b])
+            cell = (word[at].astype(np.int64) - a) * sides
+            cells = np.bincount(cell + near[0, at], minlength=(b - a) * sides) + np.bincount(cell + classes + near[1, at], minlength=(b - a) * sides)
+            cls[a:b] = np.round(cells.reshape(-1, sides).astype(np.float64) @ model.likely, 9).argmax(axis=1)
+        words = list(number)
+        new = np.flatnonzero(n == 0)
+        cls[new] = model.cls[model.units.of_all([words[i] for i in new.tolist()])]
+        return s, words, n, cls, senders
+
+    now = None
+    for block, s, lengths, data, more, near in blocks.by_slice(batches, "lengths", "data", "more", "near"):
+        if s != now:
+            if senders:
+                yield told(now)
+            now, number, senders, tokens = s, defaultdict(), [], []
+            number.default_factory = number.__len__
+        words = blocks.unpack_bytes(lengths, data)
+        own = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
+        senders.append((block, own))
+        tokens.append((np.repeat(own, blocks.unpack(more)), _bytes_of(near).reshape(2, -1)))
+    if senders:
+        yield told(now)
+    give_back()
+
+
+def assign(texts: DataFrame, shared) -> DataFrame:
+    """word, n, cls of every word of texts (text) that isn't a core word; shared: the broadcast model of ``fit``."""
+    small_batches(texts.sparkSession)
+    docs = texts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("out"), "text")
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely = shared.value.likely
-        sides = len(likely)
+        for _, words, n, cls, _ in _slices(batches, shared.value):
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(cls, pa.int32())], names=["word", "n", "cls"])
 
-        def out(words: pa.Array, cells: np.ndarray) -> pa.RecordBatch:
-            cls = np.round(cells @ likely, 9).argmax(axis=1)
-            return pa.RecordBatch.from_arrays([words, pa.array(cells.sum(axis=1).astype(np.int64) // 2), pa.array(cls.astype(np.int32))], names=["word", "n", "cls"])
+    rows = _coded(docs, shared, blocks.slices_for(docs), round(BLOCK_TOKENS * TOKEN_CHARS))
+    return blocks.words_sent(rows, "near").mapInArrow(classed, "word binary, n long, cls int")
 
-        word, held = None, None  # the last word so far, which may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words, packed = batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())
-            new = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
-            first = np.flatnonzero(new)
-            number = np.cumsum(new) - 1
-            codes = np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
-            lengths = pc.binary_length(packed).to_numpy()
-            cells = np.bincount(np.repeat(number * sides, lengths) + codes, minlength=len(first) * sides).reshape(-1, sides).astype(np.float64)
-            names = words.take(pa.array(first))
-            if word is not None:
-                if names[0].as_py() == word:
-                    cells[0] += held
-                else:
-                    yield out(pa.array([word], pa.binary()), held[None])
-            word, held = names[-1].as_py(), cells[-1].copy()
-            if len(first) > 1:
-                yield out(names.slice(0, len(first) - 1), cells[:-1])
-        if word is not None:
-            yield out(pa.array([word], pa.binary()), held[None])
 
-    return classed
+#: Stands for the block of an answer that tells of a slice's words as a whole, and for n_tokens of their row.
+NONE = -1
 
 
-def assign(texts: DataFrame, shared) -> DataFrame:
-    """word, n, cls of every word of texts (text) that isn't a core word; shared: the broadcast model of ``fit``."""
-    met = texts.select("text").mapInArrow(_neighbours(shared), "word binary, codes binary")
-    return met.repartition("word").sortWithinPartitions("word").mapInArrow(_likeliest(shared), "word binary, n long, cls int")
+def _answered(shared) -> object:
+    """To each block the counts and classes of the words it sent, in that order; to ``NONE`` how many trained words each class has."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, _, n, cls, senders in _slices(batches, shared.value):
+            rows = [(block, s, blocks.pack(n[own]), _squeezed(cls[own])) for block, own in senders]
+            rows.append((NONE, s, blocks.pack(np.bincount(cls[n > 0], minlength=shared.value.classes)), b""))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "slice", "n", "cls"])
+
+    return answer
+
+
+ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, lexical double, classes binary"
+_ROWS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("lexical", pa.float64()), ("classes", pa.binary())])
+
+
+def _classed(shared) -> object:
+    """cogroup function: a block's rows and the answers to it, to n_tokens, n_known, lexical score and the tokens' classes of each text."""
+
+    def classed(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        model = shared.value
+        got = sorted(zip(answers["slice"].to_pylist(), answers["n"].to_pylist(), answers["cls"].to_pylist(), strict=True))
+        if not len(rows):
+            distinct = sum(blocks.unpack(n).astype(np.int64) for _, n, _ in got)
+            return pa.Table.from_pylist([{"n_tokens": NONE, "classes": distinct.astype("<i8").tobytes()}], schema=_ROWS)
+        (row,) = rows.filter(pc.equal(rows["slice"], blocks.TEXTS)).to_pylist()
+        codes, length, of = blocks.unpack(row["data"]), blocks.unpack(row["lengths"]).astype(np.int64), blocks.unpack(row["more"])
+        core = of < len(model.units.core)
+        rare = np.flatnonzero(~core)
+        rare = rare[np.argsort(of[rare], kind="stable")]
+        n, c = np.zeros(len(of)), np.zeros(len(of), np.uint8)
+        n[core], c[core] = model.core_counts[of[core]], model.cls[of[core]]
+        if got:
+            told = np.concatenate([blocks.unpack(x) for _, x, _ in got])
+            if len(told) != len(rare):
+                raise ValueError("a block has changed since its words were sent: docs must be a table, or checkpointed")
+            n[rare], c[rare] = told, np.concatenate([_bytes_of(x) for _, _, x in got])
+        ends = np.cumsum(length)
+        starts = ends - length
+        total = lambda x: np.add.reduceat(x[codes], starts)
+        code = c[codes].tobytes()
+        out = [row["ids"], np.frombuffer(row["marks"], np.uint8).astype(bool), length, total((n > 0).astype(np.int64)), total(np.log10(n + ADDED)), [code[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]]
+        give_back()
+        return pa.table([pa.array(x, f.type) for x, f in zip(out, _ROWS, strict=True)], schema=_ROWS)
+
+    return classed
 
 
 def _bigram_codes(column: pa.Array, end: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -370,40 +469,14 @@ def _bigram_codes(column: pa.Array, end: int, classes: int) -> tuple[np.ndarray,
 def score_documents(docs: DataFrame, classes: int = CLASSES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    docs = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
-    learn = docs.where(~held_out(F.col("doc_id"), FOLDS))
-    model = fit(learn, classes)
+    # the number makes sure of the rows' order
+    docs = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row").select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("out"), "text")
+    model = fit(docs.where(~F.col("out")), classes)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CORE words and a few tables of fixed size
-    words = checkpointed(assign(learn, shared))
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(n_bytes / (TOKEN_BYTES * block_tokens)))
-    out = held_out(F.col("doc_id"), FOLDS)
-    dealt = docs.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "doc_id", out.alias("held_out"), "text").repartition("block")
-
-    def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, seen = shared.value.units.core, {}
-        for batch in batches:
-            blocks_, found = [], []
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = seen.setdefault(block, set())
-                new = set(words_of(text)) - own - core.keys()
-                own |= new
-                found += new
-                blocks_ += [block] * len(new)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array(found, pa.binary())], names=["block", "word"])
-
-    def classed(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
-        texts = left["text"].to_pylist()
-        if not texts:
-            x = {"n_tokens": [], "n_known": [], "lexical": [], "classes": []}
-        else:
-            x = model.classed(texts, right["word"].to_pylist(), right["n"].to_numpy(), right["cls"].to_numpy())
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(x["n_tokens"], pa.int64()), "n_known": pa.array(x["n_known"], pa.int64()), "lexical": pa.array(x["lexical"], pa.float64()), "classes": pa.array(x["classes"], pa.binary())})
-
-    counted = dealt.mapInArrow(block_words, "block long, word binary").join(words, "word").select("block", "word", "n", "cls")
-    rows = "doc_id long, held_out boolean, n_tokens long, n_known long, lexical double, classes binary"
-    met = checkpointed(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(classed, rows))
+    rows = _coded(docs, shared, blocks.slices_for(docs), round(block_tokens * TOKEN_CHARS))
+    answers = blocks.words_sent(rows, "near").mapInArrow(_answered(shared), "block long, slice int, n binary, cls binary")
+    told = checkpointed(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_classed(shared), ROWS))
+    met = told.where(F.col("n_tokens") != NONE)
     end = int(model.cls[0])
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,8 +493,8 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, block_tokens: int =
     n = n.reshape(classes, classes)
     # distinct words of each class
     distinct = np.bincount(model.cls[: len(model.units.core)][model.core_counts > 0], minlength=classes).astype(np.float64)
-    for r in words.groupBy("cls").count().collect():
-        distinct[r.cls] += r["count"]
+    for r in told.where(F.col("n_tokens") == NONE).select("classes").collect():  # one row
+        distinct += np.frombuffer(r.classes, "<i8")
     base = np.log10(model.n_tokens + ADDED * (distinct.sum() + 1))
     table_ = (_log_transition(n) / np.log(10) - np.log10(n.sum(axis=0) + ADDED * (distinct + 1))[None]).ravel()
 

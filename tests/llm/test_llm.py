@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,53 @@ def test_brown_lm_clusters_rare_words_by_their_neighbours(spark):
     assert got[b"a0-0zz"][1] != got[b"b0-0zz"][1]
 
 
+def test_brown_lm_shuffles_less_than_the_texts(spark, tmp_path):
+    """Texts are cut into blocks of numbers once: neither they nor a row for each word of a block goes through a shuffle."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 60_000}" for _ in range(2000)) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(4).write.parquet(str(tmp_path / "t"))
+    before = shuffled(spark)
+    assert brown_lm.score_documents(spark.read.parquet(str(tmp_path / "t"))).count() == 300
+    assert shuffled(spark) - before < 0.6 * sum(map(len, texts))
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written to shuffles."""
+    array = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, array, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("laid_out", [3, 16_384])
+def test_brown_lm_slices_answer_every_sender(monkeypatch, laid_out):
+    """Several blocks that share words; held-out texts teach nothing, and their new words have their signatures' classes."""
+    monkeypatch.setattr(brown_lm, "LAID_OUT", laid_out)
+    rng = np.random.default_rng(3)
+    units = brown_lm.Units({b"": 0, b"the": 1})
+    model = brown_lm.BrownModel(units, np.array([9, 9]), rng.integers(0, 4, units.size), rng.normal(size=(8, 4)), 0)
+    texts = [[" ".join(f"w{x}" if x % 5 else "the" for x in rng.integers(0, 40 + 20 * b, 30)) for _ in range(6)] + [None] for b in range(3)]
+    out = [False, True, False, False, True, False, False]
+    sent = [brown_lm._block_rows(b, list(range(7)), out, t, model, 4) for b, t in enumerate(texts)]
+    rows = sorted((r for x in sent for r in x.to_pylist() if r["slice"] != blocks.TEXTS), key=lambda r: (r["slice"], r["block"]))
+    near, seen = collections.defaultdict(lambda: np.zeros(8)), [set(), set(), set()]
+    for b, t in enumerate(texts):
+        for text, held in zip(t, out, strict=True):
+            w = [b"", *brown_lm.words_of(text), b""]
+            c = [int(model.cls[units.of(x)]) for x in w]
+            for i in range(1, len(w) - 1):
+                if w[i] != b"the":
+                    seen[b].add(w[i])
+                    near[w[i]] += 0 if held else np.eye(8)[c[i - 1]] + np.eye(8)[4 + c[i + 1]]
+    got, told = {}, [set(), set(), set()]
+    for _, words, n, cls, senders in brown_lm._slices([pa.RecordBatch.from_pylist([r], schema=sent[0].schema) for r in rows], model):
+        got |= dict(zip(words, zip(n.tolist(), cls.tolist(), strict=True), strict=True))
+        for b, own in senders:
+            told[b] |= {words[i] for i in own}
+    assert told == seen
+    assert got == {w: (int(x.sum()) // 2, int(np.argmax(np.round(x @ model.likely, 9))) if x.any() else int(model.cls[units.of(w)])) for w, x in near.items()}
+    assert any(not x.any() for x in near.values())
+
+
 def test_licences_inherit_from_the_nearest_directory(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/c/x.py", "code"), ("a/y.py", "This work is licensed under the GNU General Public License, version 3.\ncode"), ("a/z.py", None), ("q.py", "code")]
     got = {r.path: (r.licence, r.origin, r.licence_dir) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
